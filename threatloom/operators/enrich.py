@@ -1,14 +1,19 @@
 """Enrichment: first sight, rolling count, score and attack type."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.functions.scalars import attack_type
 from threatloom.operators.scoring import compile_rules, threat_score
 from threatloom.operators.windows import first_sight, offender_count
 
-EVENT_ID = F.col("rawEvent.eventId")
-CLIENT = F.col("rawEvent.clientIp")
+
+def event_id() -> Column:
+    return F.col("rawEvent.eventId")
+
+
+def client_ip() -> Column:
+    return F.col("rawEvent.clientIp")
 
 
 def score_events(counted: DataFrame, rules: DataFrame) -> DataFrame:
@@ -27,5 +32,5 @@ def enrich(raw: DataFrame, rules: DataFrame) -> DataFrame:
 
     Copies are dropped before counting, so a redelivery never raises a client's count.
     """
-    once = first_sight(raw, EVENT_ID)
-    return score_events(offender_count(once, CLIENT, F.col("received_at")), rules)
+    once = first_sight(raw, event_id())
+    return score_events(offender_count(once, client_ip(), F.col("received_at")), rules)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from threatloom.functions.scalars import floor_div
-from threatloom.operators.enrich import CLIENT, EVENT_ID, score_events
+from threatloom.operators.enrich import client_ip, event_id, score_events
 from threatloom.operators.shape import to_stored
 from threatloom.operators.store import append_once
 from threatloom.operators.windows import first_sight, offender_count
@@ -73,14 +73,14 @@ def first_sights(batch: DataFrame, earlier: DataFrame) -> DataFrame:
     """Rows whose id neither comes earlier in the batch nor was seen within the retention time."""
     known = earlier.select(F.col("event_id").alias("_id"), F.unix_micros("received_at").alias("_seen"))
     still_known = F.col("_seen") + DEDUP_RETENTION_SECONDS * 1_000_000 > F.unix_micros("received_at")
-    return first_sight(batch, EVENT_ID).join(known, (EVENT_ID == F.col("_id")) & still_known, "left_anti")
+    return first_sight(batch, event_id()).join(known, (event_id() == F.col("_id")) & still_known, "left_anti")
 
 
 def record_sightings(fresh: DataFrame, batch_id: int, path: str) -> None:
     """Write the batch's own folders, replacing those of a failed attempt."""
     rows = fresh.select(
-        EVENT_ID.alias("event_id"),
-        CLIENT.alias("client"),
+        event_id().alias("event_id"),
+        client_ip().alias("client"),
         "received_at",
         "arrival",
         floor_div(F.unix_micros("received_at"), _HOUR).alias("hour"),
@@ -96,7 +96,7 @@ def score_batch(fresh: DataFrame, earlier: DataFrame, since: int, rules: DataFra
     """
     recent = earlier.filter(F.unix_micros("received_at") >= since - OFFENDER_WINDOW_SECONDS * 1_000_000)
     ghosts = recent.select("client", "received_at", "arrival")
-    together = fresh.withColumn("client", CLIENT).unionByName(ghosts, allowMissingColumns=True)
+    together = fresh.withColumn("client", client_ip()).unionByName(ghosts, allowMissingColumns=True)
     counted = offender_count(together, F.col("client"), F.col("received_at")).filter(F.col("rawEvent").isNotNull())
     return score_events(counted.drop("client"), rules)
 
