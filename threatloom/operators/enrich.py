@@ -16,6 +16,24 @@ def client_ip() -> Column:
     return F.col("rawEvent.clientIp")
 
 
+def sightings(raw: DataFrame) -> DataFrame:
+    """The few columns that de-duplication and counting need."""
+    return raw.select(event_id().alias("event_id"), client_ip().alias("client"), "received_at", "arrival")
+
+
+def attach_counts(raw: DataFrame, counted: DataFrame) -> DataFrame:
+    """Bring offenderEventCount to the events; events without a counted sighting drop out.
+
+    The log position is part of the key, so many copies of one id spread over tasks, and this
+    is the only time whole events are shuffled.
+    """
+    counts = counted.select(
+        F.col("event_id").alias("_id"), F.col("client").alias("_client"), F.col("arrival").alias("_arrival"), "offenderEventCount"
+    )
+    same = (event_id() == F.col("_id")) & client_ip().eqNullSafe(F.col("_client")) & (F.col("arrival") == F.col("_arrival"))
+    return raw.join(counts, same).drop("_id", "_client", "_arrival")
+
+
 def score_events(counted: DataFrame, rules: DataFrame) -> DataFrame:
     """Add attackType, threatScore and receivedAt to rows that carry offenderEventCount."""
     compiled = compile_rules(rules, offender_count=F.col("offenderEventCount"))
@@ -32,5 +50,6 @@ def enrich(raw: DataFrame, rules: DataFrame) -> DataFrame:
 
     Copies are dropped before counting, so a redelivery never raises a client's count.
     """
-    once = first_sight(raw, event_id())
-    return score_events(offender_count(once, client_ip(), F.col("received_at")), rules)
+    once = first_sight(sightings(raw), F.col("event_id"))
+    counted = offender_count(once, F.col("client"), F.col("received_at"))
+    return score_events(attach_counts(raw, counted), rules)

@@ -29,13 +29,14 @@ def compile_rules(
     rule_type: str = "SCORING",
 ) -> list[CompiledRule]:
     """Enabled rules in priority order, each with its condition as a boolean Column."""
+    rows = read_rules(rules, rule_type=rule_type, ordered=False).collect()
     return [
         CompiledRule(
             row["id"],
             int(row["output"]),
             predicate(fact(row["fact_key"], event, offender_count=offender_count), row["operator"], row["operand"]),
         )
-        for row in read_rules(rules, rule_type=rule_type).collect()
+        for row in sorted(rows, key=lambda row: (row["priority"], row["id"]))
     ]
 
 

@@ -29,7 +29,7 @@ def new_events(batch: DataFrame, stored: DataFrame, order: tuple[str, ...] = ("r
     """
     earliest = Window.partitionBy("event_id").orderBy(*order)
     once = batch.withColumn("_rank", F.row_number().over(earliest)).filter("_rank = 1").drop("_rank")
-    known = stored.select("event_id").join(batch.select("event_id"), "event_id", "left_semi").distinct()
+    known = stored.select("event_id").join(batch.select("event_id"), "event_id", "left_semi")
     return once.join(known, "event_id", "left_anti")
 
 

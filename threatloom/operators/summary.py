@@ -6,51 +6,35 @@ from pyspark.sql import functions as F
 from threatloom.functions.scalars import round1
 from threatloom.operators.analytics import TOP_LIMIT
 
-_BY_KIND, _BY_CLIENT, _BY_PATH = 0b0011, 0b1101, 0b1110
+# grouping_id() of each grouping set: a bit per column that is not grouped
+_SECTIONS = {0b0111: "category", 0b1011: "action", 0b1101: "attacker", 0b1110: "path", 0b1111: "total"}
+_LISTS = [0b1101, 0b1110]
 
 
 def summary(events: DataFrame, limit: int = TOP_LIMIT) -> DataFrame:
     """(section, key, event_count, average_threat_score) for the sections
     total, category, action, attacker and path.
 
-    One scan feeds three groupings: (category, action), client and path. The first has a
-    few dozen groups at most and yields the total and both breakdowns; the other two are cut
-    to the top rows before they are shuffled for ranking.
+    One scan feeds five groupings, added up on the map side. The two top lists are cut to
+    their first rows in each task before those meet for the final ranking.
     """
-    groups = events.groupingSets(
-        [[F.col("category"), F.col("action")], [F.col("client_ip")], [F.col("path")]],
-        F.col("category"),
-        F.col("action"),
-        F.col("client_ip"),
-        F.col("path"),
-    ).agg(
+    columns = [F.col(name) for name in ("category", "action", "client_ip", "path")]
+    groups = events.groupingSets([[column] for column in columns] + [[]], *columns).agg(
         F.grouping_id().alias("grouping"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum("threat_score").alias("points"),
-    )
-    by_kind = F.col("grouping") == _BY_KIND
-    # Each (category, action) pair is its own rank group, so the limit cuts only the top lists.
-    lists = Window.partitionBy(
-        "grouping", F.when(by_kind, F.col("category")), F.when(by_kind, F.col("action"))
-    ).orderBy(F.desc("n"), F.asc_nulls_last("client_ip"), F.asc_nulls_last("path"))
-    ranked = groups.withColumn("rank", F.row_number().over(lists)).filter(F.col("rank") <= limit)
-
-    def entry(section: str, key: Column) -> Column:
-        return F.struct(F.lit(section).alias("section"), key.alias("key"))
-
-    of_kind = F.array(
-        entry("total", F.lit(None).cast("string")), entry("category", F.col("category")), entry("action", F.col("action"))
-    )
-    entries = (
-        F.when(by_kind, F.filter(of_kind, lambda e: e["key"].isNotNull() | (e["section"] == "total")))
-        .when(F.col("grouping") == _BY_CLIENT, F.array(entry("attacker", F.col("client_ip"))))
-        .otherwise(F.array(entry("path", F.col("path"))))
-    )
-    return (
-        ranked.select(F.inline(entries), "n", "points")
-        .groupBy("section", "key")
-        .agg(F.sum("n").alias("event_count"), (F.sum("points") / F.sum("n")).alias("average_threat_score"))
+        F.count(F.lit(1)).alias("event_count"),
+        F.avg("threat_score").alias("average_threat_score"),
     )
+    # Categories and actions are rank groups of their own, so the limit cuts only the lists.
+    listed = F.col("grouping").isin(_LISTS)
+    ranking = Window.partitionBy(
+        "grouping", F.when(~listed, F.col("category")), F.when(~listed, F.col("action"))
+    ).orderBy(F.desc("event_count"), F.asc_nulls_last("client_ip"), F.asc_nulls_last("path"))
+    ranked = groups.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= limit)
+    section, key = F.lit(None).cast("string"), F.coalesce("category", "action", "client_ip", "path")
+    for grouping, name in _SECTIONS.items():
+        section = F.when(F.col("grouping") == grouping, name).otherwise(section)
+    named = ranked.select(section.alias("section"), key.alias("key"), "event_count", "average_threat_score")
+    return named.filter(~F.col("section").isin("category", "action") | F.col("key").isNotNull())
 
 
 def summary_document(sections: DataFrame) -> DataFrame:

@@ -43,12 +43,14 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SCORING_RULE)
 
 
-def read_rules(rules: DataFrame, enabled_only: bool = True, rule_type: str = SCORING_TYPE) -> DataFrame:
+def read_rules(
+    rules: DataFrame, enabled_only: bool = True, rule_type: str = SCORING_TYPE, ordered: bool = True
+) -> DataFrame:
     """Rules of one type in priority order; equal priorities order by id."""
     chosen = rules.filter(F.col("type") == rule_type)
     if enabled_only:
         chosen = chosen.filter("enabled")
-    return chosen.orderBy("priority", "id")
+    return chosen.orderBy("priority", "id") if ordered else chosen
 
 
 def alert_rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:

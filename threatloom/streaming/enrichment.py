@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from threatloom.functions.scalars import floor_div
-from threatloom.operators.enrich import client_ip, event_id, score_events
+from threatloom.operators.enrich import attach_counts, event_id, score_events, sightings
 from threatloom.operators.shape import to_stored
 from threatloom.operators.store import append_once
 from threatloom.operators.windows import first_sight, offender_count
@@ -78,13 +78,8 @@ def first_sights(batch: DataFrame, earlier: DataFrame) -> DataFrame:
 
 def record_sightings(fresh: DataFrame, batch_id: int, path: str) -> None:
     """Write the batch's own folders, replacing those of a failed attempt."""
-    rows = fresh.select(
-        event_id().alias("event_id"),
-        client_ip().alias("client"),
-        "received_at",
-        "arrival",
-        floor_div(F.unix_micros("received_at"), _HOUR).alias("hour"),
-        F.lit(batch_id).cast("bigint").alias("batch"),
+    rows = sightings(fresh).withColumns(
+        {"hour": floor_div(F.unix_micros("received_at"), _HOUR), "batch": F.lit(batch_id).cast("bigint")}
     )
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
 
@@ -95,16 +90,16 @@ def score_batch(fresh: DataFrame, earlier: DataFrame, since: int, rules: DataFra
     `since` is the oldest receipt time of the batch in microseconds.
     """
     recent = earlier.filter(F.unix_micros("received_at") >= since - OFFENDER_WINDOW_SECONDS * 1_000_000)
-    ghosts = recent.select("client", "received_at", "arrival")
-    together = fresh.withColumn("client", client_ip()).unionByName(ghosts, allowMissingColumns=True)
-    counted = offender_count(together, F.col("client"), F.col("received_at")).filter(F.col("rawEvent").isNotNull())
-    return score_events(counted.drop("client"), rules)
+    new = sightings(fresh).withColumn("new", F.lit(True))
+    together = new.unionByName(recent.select("event_id", "client", "received_at", "arrival"), allowMissingColumns=True)
+    counted = offender_count(together, F.col("client"), F.col("received_at")).filter("new")
+    return score_events(attach_counts(fresh, counted), rules)
 
 
 def start_enrichment(
     raw_messages: DataFrame,
     table: str,
-    sightings: str,
+    sightings_path: str,
     checkpoint: str,
     rules: Callable[[], DataFrame],
     receive: Callable[[DataFrame], DataFrame] = received,
@@ -124,11 +119,11 @@ def start_enrichment(
         if bounds[0] is None:
             batch.unpersist()
             return
-        earlier = earlier_sightings(batch.sparkSession, sightings, batch_id, bounds[0] // _HOUR - 1, bounds[1] // _HOUR)
+        earlier = earlier_sightings(batch.sparkSession, sightings_path, batch_id, bounds[0] // _HOUR - 1, bounds[1] // _HOUR)
         fresh = first_sights(batch, earlier).persist()
         enriched = score_batch(fresh, earlier, bounds[0], rules()).persist()
         try:
-            record_sightings(fresh, batch_id, sightings)
+            record_sightings(fresh, batch_id, sightings_path)
             append_once(to_stored(enriched), table, ids_keep_their_day)
             if publish is not None:
                 publish(enriched, batch_id)
