@@ -13,6 +13,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from threatloom.operators import alerts, analytics, ingest, store, summary  # noqa: E402
 from threatloom.operators.enrich import enrich  # noqa: E402
 from threatloom.operators.shape import to_stored  # noqa: E402
@@ -20,6 +22,7 @@ from threatloom.plans import queries as q  # noqa: E402
 from threatloom.plans.sql import ALERT_RULES, ALERTS_AS_OF  # noqa: E402
 from threatloom.session import local_session, scratch_dir  # noqa: E402
 from threatloom.sources import tables, testdata  # noqa: E402
+from threatloom.streaming import enrichment, logs  # noqa: E402
 
 RUNS = 3
 
@@ -82,7 +85,21 @@ def main() -> None:
     for name, question in questions.items():
         timed(name, lambda question=question: question().collect())
     timed("quota_flags", lambda: consume(q.quota_flags(spark, sf_dir)), runs=1)
-    timed("stream_enrich", lambda: consume(q.stream_enrich(spark, sf_dir)), runs=1)
+
+    base = scratch_dir(spark, "bench-stream")
+    log = logs.raw_messages(q._envelopes(raw.withColumn("payload", F.col("rawEvent"))))
+    logs.write_log(log.repartition(8), f"{base}/log")
+
+    def stream() -> None:
+        enrichment.start_enrichment(
+            logs.read_folder(spark, f"{base}/log"), f"{base}/events", f"{base}/sightings", f"{base}/checkpoint",
+            lambda: rules, q._replay, available_now=True,
+        ).awaitTermination()
+
+    timed("stream_enrich", stream, runs=1)
+    stored = tables.read_events(spark, f"{base}/events").count()
+    if stored != events_count:
+        raise RuntimeError(f"the stream stored {stored} of {events_count} events")
 
     print(
         json.dumps(

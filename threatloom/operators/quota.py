@@ -13,9 +13,12 @@ window, `BLOCK` cells to a block:
 3. each block, told where its chain begins, marks the window that opens in each of its cells
    (at most one, as a cell is as long as a window).
 
+Each step reads its rows sorted and works on all complete groups of its Arrow batches at once.
 Steps 1 and 3 hold the distinct instants of one client in one block, step 2 the few steps.
 """
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,56 +36,130 @@ BLOCK = 64  # cells
 _NEVER = -(2**62)
 
 
-def _step(opens: np.ndarray, nexts: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """From "may open at x" to "the next may open at"; past the last request nothing opens."""
-    at = np.searchsorted(opens, x)
-    return np.where(at < len(opens), nexts[np.minimum(at, len(opens) - 1)], x)
-
-
-def _runs(ids: np.ndarray):
-    """(first, end) of each run of equal values."""
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    return zip(first, np.r_[first[1:], len(ids)])
-
-
-def _compose(span: int):
-    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(rows["_at"].to_numpy())
-        cells = [at[first:end] for first, end in _runs(at // span)]
-        opens, x = cells[0], cells[0] + span
-        if len(cells) > 1:  # arriving after the first cell's last request means opening in the second
-            opens, x = np.append(opens, cells[1][0]), np.append(x, opens[-1] + 1)
-        for later in cells[1:]:
-            x = _step(later, later + span, x)
-        last_of_step = np.r_[x[1:] != x[:-1], True]
-        return pd.DataFrame(
-            {"_key": key[0], "_block": key[1], "_open": opens[last_of_step], "_next": x[last_of_step]}
-        )
+def _whole_groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """Re-cut sorted batches so that no group crosses a cut."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        changed = np.zeros(len(batch), dtype=bool)
+        for name in by:
+            values = batch[name].to_numpy()
+            before = held[-1][name].iloc[-1] if held else values[0]
+            changed |= np.r_[values[0] != before, values[1:] != values[:-1]]
+        cuts = np.flatnonzero(changed)
+        if len(cuts):
+            last = cuts[-1]
+            ready = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = [batch.iloc[last:]]
+            if len(ready):
+                yield ready
+        else:
+            held.append(batch)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _group_ids(rows: pd.DataFrame, by: list[str]) -> np.ndarray:
+    """0, 1, 2, … for each run of equal values."""
+    changed = np.zeros(len(rows), dtype=bool)
+    for name in by:
+        values = rows[name].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    return np.cumsum(changed)
+
+
+class _Line:
+    """Positions of many groups laid end to end on one number line, for one binary search."""
+
+    def __init__(self, group: np.ndarray, offset: np.ndarray, length: int) -> None:
+        self.group, self.length = group, length
+        self.line = group * length + offset
+
+    def first_at_or_after(self, group: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, whether it is of the group) for each (group, offset)."""
+        row = np.searchsorted(self.line, group * self.length + np.clip(offset, 0, self.length - 1))
+        inside = row < len(self.line)
+        inside[inside] = self.group[row[inside]] == group[inside]
+        return row, inside
+
+
+def _compose(span: int, block: int) -> Callable:
+    """Sorted (_key, _block, _at) -> the step function of each block."""
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["_key", "_block"]):
+            at, group = rows["_at"].to_numpy(), _group_ids(rows, ["_key", "_block"])
+            offset = at - rows["_block"].to_numpy() * (span * block)
+            line = _Line(group, offset, span * (block + 2))
+            following, inside = line.first_at_or_after(group, offset + span)
+            last = np.arange(len(at))
+            moving = inside.copy()
+            while moving.any():  # at most `block` rounds: each start is a window further on
+                last[moving] = following[last[moving]]
+                moving[moving] = inside[last[moving]]
+            leaves = at[last] + span
+            # The chain enters within a window of the block's start, or at the first request after.
+            early = offset < span
+            first_late = ~early & np.r_[True, early[:-1] | (group[1:] != group[:-1])]
+            kept = np.flatnonzero(early | first_late)
+            g, out = group[kept], leaves[kept]
+            kept = kept[np.r_[(g[1:] != g[:-1]) | (out[1:] != out[:-1]), True]]
+            yield pd.DataFrame(
+                {"_key": rows["_key"].to_numpy()[kept], "_block": rows["_block"].to_numpy()[kept],
+                 "_open": at[kept], "_next": leaves[kept]}
+            )
 
     return compose
 
 
-def _follow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["_block", "_open"])
-    blocks, opens, nexts = (rows[name].to_numpy() for name in ("_block", "_open", "_next"))
-    x, found = np.array([_NEVER]), []
-    for first, end in _runs(blocks):
-        found.append((key[0], blocks[first], x[0]))
-        x = _step(opens[first:end], nexts[first:end], x)
-    return pd.DataFrame(found, columns=["_key", "_block", "_x"])
-
-
-def _mark(span: int):
-    def mark(key: tuple, rows: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_at")
-        at, n = rows["_at"].to_numpy(), rows["_n"].to_numpy()
-        x, found = begin["_x"].iloc[0], []
-        for first, end in _runs(at // span):
-            opened = first + np.searchsorted(at[first:end], x)
-            if opened < end:
-                x = at[opened] + span
-                found.append((key[0], at[first] // span, at[opened], n[opened:end].sum()))
-        return pd.DataFrame(found, columns=["_key", "_cell", "_start", "_rest"])
+def _follow(span: int, block: int) -> Callable:
+    """Sorted (_key, _block, _open, _next) -> the position at which the chain enters each block."""
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["_key"]):
+            blocks, nexts = rows["_block"].to_numpy(), rows["_next"].to_numpy()
+            piece = _group_ids(rows, ["_key", "_block"])
+            line = _Line(piece, rows["_open"].to_numpy() - blocks * (span * block), span * (block + 2))
+            first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            client = _group_ids(rows.iloc[first], ["_key"])
+            start = np.flatnonzero(np.r_[True, client[1:] != client[:-1]])
+            pieces = np.diff(np.r_[start, len(first)])
+            x, entered = np.full(len(start), _NEVER), np.empty(len(first), dtype=np.int64)
+            for turn in range(pieces.max()):  # all clients of the batch, block by block
+                going = np.flatnonzero(pieces > turn)
+                now = start[going] + turn
+                entered[now] = x[going]
+                row, inside = line.first_at_or_after(now, x[going] - blocks[first[now]] * (span * block))
+                x[going[inside]] = nexts[row[inside]]
+            yield pd.DataFrame({"_key": rows["_key"].to_numpy()[first], "_block": blocks[first], "_x": entered})
+
+    return follow
+
+
+def _mark(span: int, block: int) -> Callable:
+    """Sorted (_key, _block, _at, _n, _x) -> the windows that open in each block."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches, ["_key", "_block"]):
+            at, group = rows["_at"].to_numpy(), _group_ids(rows, ["_key", "_block"])
+            base = rows["_block"].to_numpy() * (span * block)
+            line = _Line(group, at - base, span * (block + 2))
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            active, x, opened = np.arange(len(first)), rows["_x"].to_numpy()[first] - base[first], []
+            while len(active):
+                row, inside = line.first_at_or_after(active, x)
+                row, active = row[inside], active[inside]
+                opened.append(row)
+                x = at[row] - base[row] + span
+            opened = np.concatenate(opened)
+            cell = at[opened] // span
+            end, _ = line.first_at_or_after(group[opened], (cell + 1) * span - base[opened])
+            total = np.r_[0, np.cumsum(rows["_n"].to_numpy())]
+            yield pd.DataFrame(
+                {"_key": rows["_key"].to_numpy()[opened], "_cell": cell, "_start": at[opened],
+                 "_rest": total[end] - total[opened]}
+            )
 
     return mark
 
@@ -93,17 +170,22 @@ def quota_windows(instants: DataFrame, span: int, block: int = BLOCK) -> DataFra
     `_rest` counts the requests between the window's start and the end of its cell.
     """
     blocked = instants.withColumn("_block", floor_div(F.col("_at"), span * block))
-    steps = blocked.groupBy("_key", "_block").applyInPandas(
-        _compose(span), "_key string, _block long, _open long, _next long"
+    steps = _sorted(blocked.select("_key", "_block", "_at"), ["_key", "_block"], "_at").mapInPandas(
+        _compose(span, block), "_key string, _block long, _open long, _next long"
     )
-    begins = steps.groupBy("_key").applyInPandas(_follow, "_key string, _block long, _x long")
-    return (
-        blocked.groupBy("_key", "_block")
-        .cogroup(begins.groupBy("_key", "_block"))
-        .applyInPandas(_mark(span), "_key string, _cell long, _start long, _rest long")
+    begins = _sorted(steps, ["_key"], "_block", "_open").mapInPandas(
+        _follow(span, block), "_key string, _block long, _x long"
+    )
+    entered = blocked.join(begins, ["_key", "_block"])
+    return _sorted(entered, ["_key", "_block"], "_at").mapInPandas(
+        _mark(span, block), "_key string, _cell long, _start long, _rest long"
     )
 
 
+def _sorted(frame: DataFrame, by: list[str], *order: str) -> DataFrame:
+    return frame.repartition(*by).sortWithinPartitions(*by, *order)
+
+
 def flag_quota(
     log: DataFrame,
     key: Column,

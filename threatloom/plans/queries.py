@@ -399,7 +399,7 @@ def _deliveries(spark, sf_dir):
     size = last // DELIVERIES + 1
     for i in range(DELIVERIES):
         part = messages.filter(F.col("arrival").between(i * size, (i + 1) * size - 1))
-        # Every third delivery starts with a repeat of the end of the one before.
+        # Each later delivery repeats the end of the one before; first sights are kept once.
         again = messages.filter(F.col("arrival").between(i * size - 50, i * size - 1))
         yield part if i == 0 else part.unionByName(again)
 
@@ -411,10 +411,10 @@ def _replay(messages: DataFrame) -> DataFrame:
     )
 
 
-def _run(spark, sf_dir, label, start, repeats=True):
+def _run(spark, sf_dir, label, start):
     """Deliver, run over what is there, stop; each run resumes from the checkpoint of the last."""
     base = scratch_dir(spark, label)
-    for part in _deliveries(spark, sf_dir) if repeats else [None]:
+    for part in _deliveries(spark, sf_dir):
         logs.write_log(part, f"{base}/log")
         start(logs.read_folder(spark, f"{base}/log"), base).awaitTermination()
     return base
@@ -425,8 +425,9 @@ def stream_enrich(spark, sf_dir):
 
     def start(log, base):
         return enrichment.start_enrichment(
-            log, f"{base}/events", f"{base}/sightings", f"{base}/checkpoint", rules, _replay, available_now=True
-        )
+            log, f"{base}/events", f"{base}/sightings", f"{base}/checkpoint", rules, _replay,
+            ids_keep_their_day=True, available_now=True,
+        )
 
     base = _run(spark, sf_dir, "stream-enrich", start)
     return tables.read_events(spark, f"{base}/events").select("event_id", "client_ip", "threat_score", "attack_type")
@@ -485,7 +486,7 @@ def stream_alerts(spark, sf_dir):
         hook = live.alerts_after_batch(f"{base}/events", alert_rules, report, lambda: ALERTS_AS_OF)
         return enrichment.start_enrichment(
             log, f"{base}/events", f"{base}/sightings", f"{base}/checkpoint", rules, _replay,
-            publish=hook, available_now=True,
+            ids_keep_their_day=True, publish=hook, available_now=True,
         )
 
     base = _run(spark, sf_dir, "stream-alerts", start)

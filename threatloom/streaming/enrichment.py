@@ -103,13 +103,15 @@ def start_enrichment(
     checkpoint: str,
     rules: Callable[[], DataFrame],
     receive: Callable[[DataFrame], DataFrame] = received,
-    ids_keep_their_day: bool = True,
+    ids_keep_their_day: bool = False,
     publish: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = False,
     interval: str = "10 seconds",
 ) -> StreamingQuery:
     """Run the write path until stopped, or once over everything available.
 
+    `ids_keep_their_day` goes to `append_once`: set it where an id never changes its timestamp,
+    so that a batch searches its own days for known ids and not the whole table.
     `rules` is called for each batch. `publish` may forward a batch's enriched rows as well.
     """
 
