@@ -3,7 +3,10 @@ import json
 from build import rows
 from pyspark.sql import functions as F
 
-from threatloom.operators.ingest import accepted, check_messages, rejected
+from threatloom.operators.enrich import enrich
+from threatloom.operators.ingest import POSITION_BITS, accepted, check_messages, correlation_id, rejected
+from threatloom.operators.windows import STRETCH
+from threatloom.sources.tables import default_rules
 from threatloom.streaming.logs import bad, good, kafka_messages, raw_messages, read_raw
 
 EVENT = {
@@ -118,3 +121,19 @@ def test_kafka_columns(spark):
     assert rows(kafka_messages(records), "key", "value", "correlation", "arrival") == [("k", "v", "new", 7)]
     bare = records.withColumn("headers", F.lit(None).cast(records.schema["headers"].dataType))
     assert rows(kafka_messages(bare), "correlation") == [(None,)]
+
+
+def test_repeats_inside_one_message(spark):
+    """Items of one message share its place in the log but stay distinct events."""
+    envelopes = accepted(check(spark, [[EVENT, EVENT, event(eventId="evt-2")]]))
+    assert sorted(rows(envelopes, "arrival")) == [(0,), (1,), (2,)]
+    raw = envelopes.selectExpr("arrival", "occurredAt AS received_at", "payload AS rawEvent")
+    scored = enrich(raw, default_rules(spark), stretch=STRETCH << POSITION_BITS)
+    assert sorted(rows(scored, "rawEvent.eventId", "offenderEventCount")) == [("evt-1", 1), ("evt-2", 2)]
+
+
+def test_correlation_headers(spark):
+    headers = spark.createDataFrame([("a",), ("  ",), ("",), (None,)], "h string")
+    request = [len(r[0]) for r in headers.select(correlation_id(F.col("h"))).collect()]
+    message = [len(r[0]) for r in headers.select(correlation_id(F.col("h"), blank_counts=True)).collect()]
+    assert request == [1, 36, 36, 36] and message == [1, 2, 36, 36]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from threatloom.functions.scalars import attack_type
 from threatloom.operators.scoring import compile_rules, threat_score
-from threatloom.operators.windows import first_sight, offender_count
+from threatloom.operators.windows import STRETCH, first_sight, offender_count
 
 
 def event_id() -> Column:
@@ -45,11 +45,13 @@ def score_events(counted: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def enrich(raw: DataFrame, rules: DataFrame) -> DataFrame:
+def enrich(raw: DataFrame, rules: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """(arrival, received_at, rawEvent) -> the same rows, once per id, scored and classified.
 
     Copies are dropped before counting, so a redelivery never raises a client's count.
+    `arrival` is unique per client; `stretch` is how much of it is counted as one point, so
+    widen it (`STRETCH << POSITION_BITS`) where `arrival` comes straight from `ingest.accepted`.
     """
     once = first_sight(sightings(raw), F.col("event_id"))
-    counted = offender_count(once, F.col("client"), F.col("received_at"))
+    counted = offender_count(once, F.col("client"), F.col("received_at"), stretch=stretch)
     return score_events(attach_counts(raw, counted), rules)

@@ -4,8 +4,6 @@ A message is one JSON object or an array of them. Everything up to the verdict s
 the message's row, so gating needs no shuffle; only accepted messages turn into event rows.
 """
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +27,11 @@ def _all_text(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
 
 
+# A text value holds at most 2 GB and a valid item needs over 128 bytes, so 2^24 positions suffice.
+POSITION_BITS = 24
+
 _ITEMS = T.ArrayType(_all_text(RAW_EVENT))
+_PARSED_RULE = "parsedRule"
 
 
 def _whole(text: Column, kind: str) -> Column:
@@ -51,8 +53,9 @@ def _has_text(text: Column) -> Column:
     return ~is_blank(text)
 
 
-def _does_not_bind(item: Column, rule: Column) -> Column:
+def _does_not_bind(item: Column) -> Column:
     """A value is there but is not of the field's type."""
+    rule = item[_PARSED_RULE]
     whole = [("configId", "int"), ("statusCode", "int"), ("requestSize", "bigint"), ("responseSize", "bigint")]
     wrong = item.isNull()
     for name, kind in whole:
@@ -68,7 +71,9 @@ def _does_not_bind(item: Column, rule: Column) -> Column:
     )
 
 
-def _item_violations(item: Column, rule: Column, index: Column) -> Column:
+def _item_violations(item: Column, index: Column) -> Column:
+    rule = item[_PARSED_RULE]
+
     def check(bad: Column, field: str, message: str) -> Column:
         path = F.concat(F.lit("["), index.cast("string"), F.lit(f"].{field}"))
         return F.when(bad, F.struct(path.alias("field"), F.lit(message).alias("message")))
@@ -89,8 +94,10 @@ def _item_violations(item: Column, rule: Column, index: Column) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def _with_rule(use: Callable[[Column, Column, Column], Column]) -> Callable[[Column, Column], Column]:
-    return lambda item, index: use(item, F.from_json(item["rule"], _all_text(RULE)), index)
+def _opened(item: Column) -> Column:
+    """The item with its rule parsed beside it, once for all later uses."""
+    fields = [item[name].alias(name) for name in RAW_EVENT.names]
+    return F.when(item.isNotNull(), F.struct(*fields, F.from_json(item["rule"], _all_text(RULE)).alias(_PARSED_RULE)))
 
 
 def check_messages(messages: DataFrame) -> DataFrame:
@@ -99,56 +106,66 @@ def check_messages(messages: DataFrame) -> DataFrame:
     One value that does not bind, or a body that does not parse, makes the whole message
     malformed; otherwise one violation anywhere rejects all its items.
     """
-    parsed = messages.withColumn("items", F.from_json("value", _ITEMS))
-    malformed = F.col("items").isNull() | F.exists(
-        F.transform("items", _with_rule(lambda item, rule, _: _does_not_bind(item, rule))), lambda bad: bad
+    parsed = messages.withColumn("items", F.from_json("value", _ITEMS)).withColumn("items", F.transform("items", _opened))
+    # One walk over the items yields both answers.
+    judged = parsed.withColumn(
+        "_judged",
+        F.transform(
+            "items",
+            lambda item, index: F.struct(
+                _does_not_bind(item).alias("bad"), _item_violations(item, index).alias("violations")
+            ),
+        ),
     )
-    found = F.flatten(F.transform("items", _with_rule(_item_violations)))
-    judged = parsed.withColumn("_malformed", F.coalesce(malformed, F.lit(True)))
-    judged = judged.withColumn(
+    malformed = F.col("items").isNull() | F.exists("_judged", lambda item: item["bad"])
+    found = F.flatten(F.col("_judged")["violations"])
+    told = judged.withColumn("_malformed", F.coalesce(malformed, F.lit(True))).withColumn(
         "violations", F.when(F.col("_malformed"), F.array().cast(_VIOLATIONS)).otherwise(found)
     )
     code = F.when(F.col("_malformed"), MALFORMED).when(F.size("violations") > 0, INVALID)
-    return judged.withColumn("error_code", code).withColumn(
+    return told.withColumn("error_code", code).withColumn(
         "accepted_count", F.when(F.col("error_code").isNull(), F.size("items")).otherwise(0)
-    ).drop("_malformed")
+    ).drop("_malformed", "_judged")
 
 
-def correlation_id(header: Column) -> Column:
-    """The caller's id, or a new one; one per message, so take it before items are exploded."""
-    return F.coalesce(F.when(header.rlike(r"\S"), header), F.uuid())
+def correlation_id(header: Column, blank_counts: bool = False) -> Column:
+    """The caller's id, or a new one; one per message, so take it before items are exploded.
+
+    A request header must hold text to count, a message header (`blank_counts`) only bytes.
+    """
+    return F.coalesce(F.when(header != "" if blank_counts else header.rlike(r"\S"), header), F.uuid())
 
 
 def to_raw_event(item: Column) -> Column:
     """Bind a checked item to the raw event; absent numbers are 0, an absent location stays null."""
-    rule = F.from_json(item["rule"], RULE)
     bound = {
         "timestamp": _instant(item["timestamp"]),
         "configId": F.coalesce(_whole(item["configId"], "int"), F.lit(0)),
         "statusCode": F.coalesce(_whole(item["statusCode"], "int"), F.lit(0)),
         "requestSize": F.coalesce(_whole(item["requestSize"], "bigint"), F.lit(0).cast("bigint")),
         "responseSize": F.coalesce(_whole(item["responseSize"], "bigint"), F.lit(0).cast("bigint")),
-        "rule": rule,
+        "rule": item[_PARSED_RULE],
         "geoLocation": F.from_json(item["geoLocation"], GEO),
     }
     return F.struct(*[bound.get(name, item[name]).alias(name) for name in RAW_EVENT.names])
 
 
-def accepted(checked: DataFrame, occurred_at: Column | None = None) -> DataFrame:
-    """Envelopes of the events of all accepted messages, with their place in the log.
+def accepted(checked: DataFrame, occurred_at: Column | None = None, blank_correlation_counts: bool = False) -> DataFrame:
+    """Envelopes of the events of all accepted messages.
 
-    `occurredAt` is one clock reading for all items of a message.
+    `occurredAt` is one clock reading for all items of a message. `arrival` becomes a place
+    in the log for each event: that of its message, and the position inside it in the low bits.
     """
-    messages = checked.filter("error_code IS NULL").withColumns(
+    messages = checked.withColumns(
         {
-            "correlationId": correlation_id(F.col("correlation")),
+            "correlationId": correlation_id(F.col("correlation"), blank_correlation_counts),
             "occurredAt": F.current_timestamp() if occurred_at is None else occurred_at,
         }
     )
-    return messages.select(
-        "arrival", "correlationId", "occurredAt", F.posexplode("items").alias("position", "item")
-    ).select(
-        "arrival",
+    # A filter would move below the parsing and repeat it; an absent array yields no rows either.
+    items = F.when(F.col("error_code").isNull(), F.col("items"))
+    return messages.select("arrival", "correlationId", "occurredAt", F.posexplode(items).alias("position", "item")).select(
+        (F.shiftleft("arrival", POSITION_BITS) + F.col("position")).alias("arrival"),
         "position",
         "correlationId",
         "occurredAt",
@@ -159,4 +176,7 @@ def accepted(checked: DataFrame, occurred_at: Column | None = None) -> DataFrame
 
 def rejected(checked: DataFrame) -> DataFrame:
     """Messages that yield nothing, kept with the reason instead of being dropped."""
-    return checked.filter("error_code IS NOT NULL").select("arrival", "value", "correlation", "error_code", "violations")
+    reason = F.struct("error_code", "violations")
+    return checked.select(
+        "arrival", "value", "correlation", F.inline(F.when(F.col("error_code").isNotNull(), F.array(reason)))
+    )

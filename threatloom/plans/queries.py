@@ -13,9 +13,10 @@ from threatloom.operators import alerts, analytics, ingest, quota, rule_table, s
 from threatloom.operators.enrich import client_ip, enrich, event_id
 from threatloom.operators.windows import first_sight, offender_count
 from threatloom.plans.sql import ALERT_RULES, ALERTS_AS_OF, FILTER_FROM, FILTER_TO, RULE_CASES
+from threatloom.schema import MESSAGE
 from threatloom.session import scratch_dir
 from threatloom.sources import tables, testdata
-from threatloom.streaming import enrichment, live, logs, state
+from threatloom.streaming import enrichment, gateway, live, logs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -467,6 +468,18 @@ def _use_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, value)
 
 
+def stream_ingest(spark, sf_dir):
+    base = scratch_dir(spark, "stream-ingest")
+    logs.write_log(testdata.ingest_messages(spark, sf_dir), f"{base}/log")
+    log = logs.read_folder(spark, f"{base}/log")
+    gateway.start_ingest(log, f"{base}/raw", f"{base}/rejects", f"{base}/checkpoint", available_now=True).awaitTermination()
+    events = logs.good(logs.read_raw(spark.read.schema(MESSAGE).parquet(f"{base}/raw")))
+    refused = spark.read.parquet(f"{base}/rejects")
+    return events.select(F.lit("accepted").alias("outcome"), F.col("payload.eventId").alias("key")).unionByName(
+        refused.select(F.lower("error_code").alias("outcome"), F.col("arrival").cast("string").alias("key"))
+    )
+
+
 def stream_timeseries(spark, sf_dir):
     base = scratch_dir(spark, "stream-series")
     store.write_events(stored_events(spark, sf_dir).withColumn("event_date", F.to_date("timestamp")), f"{base}/events")
@@ -540,6 +553,7 @@ def queries() -> dict[str, Query]:
         "rules_upsert": rules_upsert,
         "rules_delete": rules_delete,
         "rules_violations": rules_violations,
+        "stream_ingest": stream_ingest,
         "stream_enrich": stream_enrich,
         "stream_offender_count": stream_offender_count,
         "stream_quota": stream_quota,

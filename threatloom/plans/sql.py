@@ -315,6 +315,9 @@ def oracle_sql() -> dict[str, str]:
         "alert_rule_violations": f"""WITH {SEC} SELECT event_id, field FROM sec,
               (VALUES ('category'), ('threshold'), ('windowMinutes')) AS f(field)
             WHERE CASE field WHEN 'category' THEN k % 6 = 0 WHEN 'threshold' THEN k % 9 = 0 ELSE k % 4 = 0 END""",
+        "stream_ingest": f"""WITH {ACCEPTED} SELECT 'accepted' AS outcome, event_id AS key FROM accepted
+            UNION ALL SELECT CASE WHEN malformed THEN 'malformed_request' ELSE 'validation_failed' END,
+              CAST(message_id AS VARCHAR) FROM verdicts WHERE malformed OR invalid""",
         "stream_enrich": f"WITH {COUNTED} SELECT event_id, client_ip, threat_score, attack_type FROM enriched",
         "stream_offender_count": f"WITH {COUNTED} SELECT arrival, offender_count FROM counted",
         "stream_quota": f"""WITH {QUOTA}, numbered AS (SELECT arrival,

@@ -23,7 +23,7 @@ from threatloom.functions.scalars import floor_div
 from threatloom.operators.enrich import attach_counts, event_id, score_events, sightings
 from threatloom.operators.shape import to_stored
 from threatloom.operators.store import append_once
-from threatloom.operators.windows import first_sight, offender_count
+from threatloom.operators.windows import STRETCH, first_sight, offender_count
 from threatloom.schema import DEDUP_RETENTION_SECONDS, OFFENDER_WINDOW_SECONDS
 from threatloom.streaming.logs import good, read_raw
 
@@ -84,7 +84,9 @@ def record_sightings(fresh: DataFrame, batch_id: int, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
 
 
-def score_batch(fresh: DataFrame, earlier: DataFrame, since: int, rules: DataFrame) -> DataFrame:
+def score_batch(
+    fresh: DataFrame, earlier: DataFrame, since: int, rules: DataFrame, stretch: int = STRETCH
+) -> DataFrame:
     """Count and score; earlier sightings take part in the count and then drop out again.
 
     `since` is the oldest receipt time of the batch in microseconds.
@@ -92,7 +94,7 @@ def score_batch(fresh: DataFrame, earlier: DataFrame, since: int, rules: DataFra
     recent = earlier.filter(F.unix_micros("received_at") >= since - OFFENDER_WINDOW_SECONDS * 1_000_000)
     new = sightings(fresh).withColumn("new", F.lit(True))
     together = new.unionByName(recent.select("event_id", "client", "received_at", "arrival"), allowMissingColumns=True)
-    counted = offender_count(together, F.col("client"), F.col("received_at")).filter("new")
+    counted = offender_count(together, F.col("client"), F.col("received_at"), stretch=stretch).filter("new")
     return score_events(attach_counts(fresh, counted), rules)
 
 
@@ -105,6 +107,7 @@ def start_enrichment(
     receive: Callable[[DataFrame], DataFrame] = received,
     ids_keep_their_day: bool = False,
     publish: Callable[[DataFrame, int], None] | None = None,
+    stretch: int = STRETCH,
     available_now: bool = False,
     interval: str = "10 seconds",
 ) -> StreamingQuery:
@@ -113,6 +116,7 @@ def start_enrichment(
     `ids_keep_their_day` goes to `append_once`: set it where an id never changes its timestamp,
     so that a batch searches its own days for known ids and not the whole table.
     `rules` is called for each batch. `publish` may forward a batch's enriched rows as well.
+    `stretch` is explained at `enrich`.
     """
 
     def handle(messages: DataFrame, batch_id: int) -> None:
@@ -123,7 +127,7 @@ def start_enrichment(
             return
         earlier = earlier_sightings(batch.sparkSession, sightings_path, batch_id, bounds[0] // _HOUR - 1, bounds[1] // _HOUR)
         fresh = first_sights(batch, earlier).persist()
-        enriched = score_batch(fresh, earlier, bounds[0], rules()).persist()
+        enriched = score_batch(fresh, earlier, bounds[0], rules(), stretch).persist()
         try:
             record_sightings(fresh, batch_id, sightings_path)
             append_once(to_stored(enriched), table, ids_keep_their_day)
