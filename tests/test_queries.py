@@ -4,14 +4,16 @@ import pytest
 from compare import compare, tables
 
 import __spark_entry__ as entry
+from threatloom.plans import queries, sql
 
 SF = "/root/testdata/sf0.001"
 # Offsets into the table that only exist at larger volumes are checked there.
-NAMES = sorted(entry.queries())
+NAMES = sorted(queries.queries())
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(queries.queries()) == set(sql.oracle_sql())
+    assert set(NAMES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
