@@ -68,7 +68,7 @@ def main() -> None:
 
     timed("enrich_and_append", persist_events)
     events = tables.read_events(spark, written[-1])
-    config = analytics.filter_events(events, config_id=14227)
+    config = analytics.filter_events(events, config_id=testdata.CONFIG_IDS[0])
     questions = {
         "summary": lambda: summary.summary(events),
         "summary_one_config": lambda: summary.summary(config),

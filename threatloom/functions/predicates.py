@@ -69,15 +69,23 @@ def _any_of(conditions: list[Column]) -> Column:
 
 
 def _full_match(value: Column, pattern: str) -> Column:
-    anchored = rf"\A(?:{pattern})\z"
-    spark = SparkSession.active()
+    """Java's whole-text match. An unusable pattern matches nothing.
+
+    Anchors put around a pattern end up inside it if it leaves a quote open or ends in a
+    comment; then the group does not close, and one of the other forms ends both first.
+    """
+    forms = (rf"\A(?:{pattern}{end})\z" for end in ("", r"\E", "\n"))
+    usable = next(filter(_compiles, forms), None) if _compiles(pattern) else None
+    return F.lit(False) if usable is None else value.rlike(usable)
+
+
+def _compiles(pattern: str) -> bool:
+    """Folded on the driver, no job."""
     try:
-        # Folded on the driver, no job: an unusable pattern matches nothing.
-        spark.sql("SELECT '' RLIKE :pattern AS ok", args={"pattern": pattern}).collect()
-        spark.sql("SELECT '' RLIKE :pattern AS ok", args={"pattern": anchored}).collect()
+        SparkSession.active().sql("SELECT '' RLIKE :pattern AS ok", args={"pattern": pattern}).collect()
     except PySparkException:
-        return F.lit(False)
-    return value.rlike(anchored)
+        return False
+    return True
 
 
 def _between(value: Fact, operand: str) -> Column:

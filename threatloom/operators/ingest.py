@@ -32,6 +32,7 @@ POSITION_BITS = 24
 
 _ITEMS = T.ArrayType(_all_text(RAW_EVENT))
 _PARSED_RULE = "parsedRule"
+_WRONG_KIND = "wrongKind"
 
 
 def _whole(text: Column, kind: str) -> Column:
@@ -64,8 +65,7 @@ def _does_not_bind(item: Column) -> Column:
         wrong
         | (_has_text(item["timestamp"]) & _instant(item["timestamp"]).isNull())
         | _member(item["action"], ACTIONS)
-        | (item["rule"].isNotNull() & ~item["rule"].startswith("{"))
-        | (item["geoLocation"].isNotNull() & ~item["geoLocation"].startswith("{"))
+        | F.coalesce(item[_WRONG_KIND], F.lit(False))
         | _member(rule["severity"], SEVERITIES)
         | _member(rule["category"], CATEGORIES)
     )
@@ -94,10 +94,31 @@ def _item_violations(item: Column, index: Column) -> Column:
     return F.array_compact(F.array(*checks))
 
 
-def _opened(item: Column) -> Column:
-    """The item with its rule parsed beside it, once for all later uses."""
+_TEXTS = [f"$.{f.name}" for f in RAW_EVENT.fields if f.dataType == T.StringType()] + [
+    f"$.{f.name}.{inner.name}" for f in RAW_EVENT.fields if isinstance(f.dataType, T.StructType) for inner in f.dataType.fields
+]
+_OBJECTS = [f"$.{f.name}" for f in RAW_EVENT.fields if isinstance(f.dataType, T.StructType)]
+
+
+def _wrong_kind(whole: Column) -> Column:
+    """Whether an item, as a variant, has an object or array where a plain value belongs, or the reverse."""
+
+    def kind(path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(whole, path, "variant")), F.lit("VOID"))
+
+    wrong = F.lit(False)
+    for path in _TEXTS:
+        wrong = wrong | kind(path).rlike("^(OBJECT|ARRAY)<")
+    for path in _OBJECTS:
+        wrong = wrong | ~kind(path).rlike("^(OBJECT<|VOID$)")
+    return wrong
+
+
+def _opened(item: Column, whole: Column) -> Column:
+    """The item with its rule parsed and its kinds judged beside it, once for all later uses."""
     fields = [item[name].alias(name) for name in RAW_EVENT.names]
-    return F.when(item.isNotNull(), F.struct(*fields, F.from_json(item["rule"], _all_text(RULE)).alias(_PARSED_RULE)))
+    rule = F.from_json(item["rule"], _all_text(RULE)).alias(_PARSED_RULE)
+    return F.when(item.isNotNull(), F.struct(*fields, rule, _wrong_kind(whole).alias(_WRONG_KIND)))
 
 
 def check_messages(messages: DataFrame) -> DataFrame:
@@ -106,7 +127,12 @@ def check_messages(messages: DataFrame) -> DataFrame:
     One value that does not bind, or a body that does not parse, makes the whole message
     malformed; otherwise one violation anywhere rejects all its items.
     """
-    parsed = messages.withColumn("items", F.from_json("value", _ITEMS)).withColumn("items", F.transform("items", _opened))
+    body = F.try_parse_json("value")
+    lone = F.schema_of_variant(body).startswith("OBJECT")
+    wholes = F.when(lone, F.array(body)).otherwise(F.try_variant_get(body, "$", "array<variant>"))
+    read = messages.withColumns({"items": F.from_json("value", _ITEMS), "_wholes": wholes})
+    opened = F.transform("items", lambda item, i: _opened(item, F.get(F.col("_wholes"), i)))
+    parsed = read.withColumn("items", opened).drop("_wholes")
     # One walk over the items yields both answers.
     judged = parsed.withColumn(
         "_judged",
@@ -136,6 +162,15 @@ def correlation_id(header: Column, blank_counts: bool = False) -> Column:
     return F.coalesce(F.when(header != "" if blank_counts else header.rlike(r"\S"), header), F.uuid())
 
 
+def _place(arrival: Column, position: Column) -> Column:
+    """Log position and place in the message as one number; a log too long for that fails instead of wrapping round."""
+    limit = 1 << (63 - POSITION_BITS)
+    told = F.concat(F.lit("log position out of range: "), arrival.cast("string"))
+    return F.when((arrival >= limit) | (arrival < -limit), F.raise_error(told).cast("bigint")).otherwise(
+        F.shiftleft(arrival, POSITION_BITS) + position
+    )
+
+
 def to_raw_event(item: Column) -> Column:
     """Bind a checked item to the raw event; absent numbers are 0, an absent location stays null."""
     bound = {
@@ -165,7 +200,7 @@ def accepted(checked: DataFrame, occurred_at: Column | None = None, blank_correl
     # A filter would move below the parsing and repeat it; an absent array yields no rows either.
     items = F.when(F.col("error_code").isNull(), F.col("items"))
     return messages.select("arrival", "correlationId", "occurredAt", F.posexplode(items).alias("position", "item")).select(
-        (F.shiftleft("arrival", POSITION_BITS) + F.col("position")).alias("arrival"),
+        _place(F.col("arrival"), F.col("position")).alias("arrival"),
         "position",
         "correlationId",
         "occurredAt",

@@ -1,5 +1,7 @@
 """Maintenance of the scoring-rule table."""
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from threatloom.schema import SCORING_RULE
 from threatloom.sources.tables import SCORING_TYPE, default_rules
 
 _COLUMNS = SCORING_RULE.names
+_VERSION = re.compile(r"/version=(\d+)/")
 
 
 def violations(*checks: tuple[Column, str, str]) -> Column:
@@ -57,14 +60,11 @@ def seed_rules(spark: SparkSession, table: DataFrame) -> DataFrame:
 def write_rules(rules: DataFrame, path: str) -> None:
     """Replace the stored rule table; the rows may come from the same folder.
 
-    A rule set is a handful of rows, so they are written as one file of a new version and
-    readers pick the newest version.
+    A rule set is a handful of rows, so they are written as one file in the folder of a new
+    version, also when no rule is left, and readers pick the newest version.
     """
-    spark = rules.sparkSession
-    version = F.lit(_latest_version(spark, path) + 1)
-    rules.select(*_COLUMNS).coalesce(1).withColumn("version", version).write.mode("append").partitionBy(
-        "version"
-    ).parquet(path)
+    version = _latest_version(rules.sparkSession, path) + 1
+    rules.select(*_COLUMNS).coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +78,11 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _latest_version(spark: SparkSession, path: str) -> int:
+    """The highest version among the stored files' folders; a version without rows has a file too."""
     try:
-        return _stored(spark, path).agg(F.max("version")).first()[0] or 0
-    except AnalysisException:
+        files = _stored(spark, path).inputFiles()
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
         return 0
+    return max((int(found[1]) for found in map(_VERSION.search, files) if found), default=0)

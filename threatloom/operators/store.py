@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from threatloom.schema import EVENT_COLUMNS, EVENTS
 from threatloom.sources.tables import read_events
 
-_MANY_DAYS = 400
-
 
 def existing(spark: SparkSession, path: str) -> DataFrame:
     """The event table, empty where nothing has been written yet."""
@@ -44,12 +42,8 @@ def append_once(batch: DataFrame, path: str, ids_keep_their_day: bool = False) -
     stored = existing(spark, path)
     dated = batch.select(*EVENT_COLUMNS, F.to_date("timestamp").alias("event_date"))
     if ids_keep_their_day:
-        days = [row[0] for row in dated.select("event_date").distinct().limit(_MANY_DAYS + 1).collect()]
-        if len(days) <= _MANY_DAYS:
-            stored = stored.filter(F.col("event_date").isin(days))
-        else:
-            first, last = dated.agg(F.min("event_date"), F.max("event_date")).first()
-            stored = stored.filter(F.col("event_date").between(first, last))
+        # Spark prunes the table's folders by the days it finds here, however many there are.
+        stored = stored.join(dated.select("event_date").distinct(), "event_date", "left_semi")
     write_events(new_events(dated, stored), path)
 
 

@@ -20,6 +20,17 @@ from threatloom.streaming import enrichment, gateway, live, logs, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Questions that are also asked of every stored event.
+_UNFILTERED = {
+    "total_events": analytics.total_events,
+    "by_category": analytics.by_category,
+    "by_action": analytics.by_action,
+    "top_attackers": analytics.top_attackers,
+    "top_paths": analytics.top_paths,
+    "summary": summary.summary,
+    "timeseries_1h": partial(analytics.timeseries, interval="1h"),
+}
+
 
 def _naive(df: DataFrame) -> DataFrame:
     """Instants as UTC wall-clock values, which is what the comparison tables hold."""
@@ -40,7 +51,7 @@ def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.filter_events(stored_events(spark, sf_dir), 14227, FILTER_FROM, FILTER_TO)
+    return analytics.filter_events(stored_events(spark, sf_dir), testdata.CONFIG_IDS[0], FILTER_FROM, FILTER_TO)
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +139,10 @@ def enriched_summary(spark, sf_dir):
 # --- analytics -----------------------------------------------------------------------------
 
 
+def over_all(question, spark, sf_dir):
+    return _naive(question(stored_events(spark, sf_dir)))
+
+
 def over_filtered(question, spark, sf_dir):
     return _naive(question(_filtered(spark, sf_dir)))
 
@@ -434,6 +449,19 @@ def stream_enrich(spark, sf_dir):
     return tables.read_events(spark, f"{base}/events").select("event_id", "client_ip", "threat_score", "attack_type")
 
 
+def stream_rejects(spark, sf_dir):
+    """Every fiftieth raw message arrives cut short; the write path sets those aside."""
+    base = scratch_dir(spark, "stream-rejects")
+    whole = logs.raw_messages(_envelopes(testdata.raw_events(spark, sf_dir).withColumn("payload", F.col("rawEvent"))))
+    short = F.when(F.col("arrival") % 50 == 7, F.substring("value", 1, 40)).otherwise(F.col("value"))
+    logs.write_log(whole.withColumn("value", short), f"{base}/log")
+    enrichment.start_enrichment(
+        logs.read_folder(spark, f"{base}/log"), f"{base}/events", f"{base}/sightings", f"{base}/checkpoint",
+        partial(tables.default_rules, spark), _replay, rejects_path=f"{base}/rejects", available_now=True,
+    ).awaitTermination()
+    return spark.read.parquet(f"{base}/rejects").select("arrival")
+
+
 def _start_keyed(stream: DataFrame, base: str):
     writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
     return writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
@@ -522,6 +550,8 @@ def queries() -> dict[str, Query]:
         "enrich": enriched_events,
         "enriched_summary": enriched_summary,
         "enriched_by_category": enriched_by_category,
+        "stream_rejects": stream_rejects,
+        **{f"{name}_all": partial(over_all, question) for name, question in _UNFILTERED.items()},
         "total_events": partial(over_filtered, analytics.total_events),
         "by_category": partial(over_filtered, analytics.by_category),
         "by_action": partial(over_filtered, analytics.by_action),

@@ -16,25 +16,25 @@ sec AS (
     TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * CAST((arrival // 5) * 5 AS INTEGER) AS received_at,
     CAST(arrival AS VARCHAR) AS event_id,
     ts AS "timestamp",
-    CAST([14227, 20351, 88120][arrival % 3 + 1] AS INTEGER) AS config_id,
-    'policy-' || [14227, 20351, 88120][arrival % 3 + 1] AS policy_id,
+    CAST([31, 32, 33][arrival % 3 + 1] AS INTEGER) AS config_id,
+    'policy-' || [31, 32, 33][arrival % 3 + 1] AS policy_id,
     '203.0.113.' || (user_id % 150) AS client_ip,
-    ['www.shop.test', 'api.shop.test', 'pay.shop.test'][k % 3 + 1] AS hostname,
-    ['/login', '/admin', '/admin/users', '/api/v1/login', '/api/v1/users', '/checkout', '/api/v1/search',
-     '/wp-admin', '/api/v1/orders', '/static/app.js', '/api/v1/payments'][k % 11 + 1] AS path,
-    ['GET', 'POST', 'PUT', 'DELETE'][k % 4 + 1] AS method,
-    CAST(CASE WHEN event_type = 'error' THEN 403 WHEN k % 2 = 0 THEN 200 ELSE 401 END AS INTEGER) AS status_code,
-    ['browser/1.0', 'browser/2.0', 'curl/8', 'scanner/3', 'bot/7'][k % 5 + 1] AS user_agent,
-    '9500' || lpad(CAST(k AS VARCHAR), 2, '0') AS rule_id,
+    ['north.test', 'a.west.test', 'south.test'][k % 3 + 1] AS hostname,
+    ['/', '/news/today', '/login/start', '/basket', '/admin/audit', '/team', '/feeds/jobs',
+     '/login/reset', '/help/contact', '/media/logo.svg', '/feeds/news'][k % 11 + 1] AS path,
+    ['HEAD', 'GET', 'PATCH', 'POST'][k % 4 + 1] AS method,
+    CAST(CASE WHEN event_type = 'error' THEN 410 WHEN k % 3 = 0 THEN 204 ELSE 302 END AS INTEGER) AS status_code,
+    ['reader (browser)', 'feed/5', 'browser/9', 'probe/2', 'cli/3'][k % 5 + 1] AS user_agent,
+    CAST(7000 + 3 * k AS VARCHAR) AS rule_id,
     ['INJECTION', 'XSS', 'PROTOCOL_VIOLATION', 'DATA_LEAKAGE', 'BOT', 'DOS', 'RATE_LIMIT'][k % 7 + 1] AS category,
     ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW'][(arrival // 3) % 4 + 1] AS severity,
     CASE WHEN event_type = 'error' THEN 'DENY' WHEN event_type IN ('purchase', 'signup') THEN 'ALERT'
          ELSE 'MONITOR' END AS action,
-    CASE WHEN k % 10 <> 9 THEN ['CN', 'RU', 'US', 'BR', 'IN', 'DE'][k % 6 + 1] END AS geo_country,
+    CASE WHEN k % 10 <> 9 THEN ['NO', 'PE', 'KE', 'NZ', 'CA', 'LA'][k % 6 + 1] END AS geo_country,
     CASE WHEN k % 10 <> 9
-         THEN ['Beijing', 'Moscow', 'Ashburn', 'Sao Paulo', 'Mumbai', 'Frankfurt'][k % 6 + 1] END AS geo_city,
-    CAST(64 + k * 41 AS BIGINT) AS request_size,
-    CAST(64 + k * 20 AS BIGINT) AS response_size,
+         THEN ['Oslo', 'Lima', 'Nairobi', 'Napier', 'Regina', 'Vientiane'][k % 6 + 1] END AS geo_city,
+    CAST(100 + k * 37 AS BIGINT) AS request_size,
+    CAST(50 + k * 23 AS BIGINT) AS response_size,
     k
   FROM ids
 )
@@ -56,7 +56,7 @@ ATTACK_TYPE = """
 # Score without the rolling count: what a rule on a missing fact adds is nothing.
 STORED = f"""{SEC},
 stored AS (
-  SELECT *, category || '_RULE' AS rule_name, category || ' detected' AS rule_message,
+  SELECT *, 'sig-' || lower(category) AS rule_name, 'matched ' || lower(category) AS rule_message,
     {ATTACK_TYPE} AS attack_type, CAST({BASE_SCORE} AS INTEGER) AS threat_score
   FROM sec
 )
@@ -80,26 +80,26 @@ enriched AS (
 
 RULE_CASES = {
     # predicate: (fact, operand, SQL condition)
-    "EQUAL_TO": ("statusCode", "403.0", "status_code = 403"),
-    "NOT_EQUAL_TO": ("geoLocation.country", "CN", "geo_country <> 'CN'"),
+    "EQUAL_TO": ("statusCode", "410.0", "status_code = 410"),
+    "NOT_EQUAL_TO": ("geoLocation.country", "NO", "geo_country <> 'NO'"),
     "GREATER_THAN": ("requestSize", "2000", "request_size > 2000"),
-    "GREATER_THAN_OR_EQUAL": ("rule.id", "950050", "CAST(rule_id AS INTEGER) >= 950050"),
+    "GREATER_THAN_OR_EQUAL": ("rule.id", "7150", "CAST(rule_id AS INTEGER) >= 7150"),
     "LESS_THAN": ("hostname", "b", "hostname < 'b'"),
-    "LESS_THAN_OR_EQUAL": ("responseSize", " 1064 ", "response_size <= 1064"),
+    "LESS_THAN_OR_EQUAL": ("responseSize", " 1062 ", "response_size <= 1062"),
     "IN": ("method", "GET, POST ,", "method IN ('GET', 'POST')"),
-    "NOT_IN": ("geoLocation.city", "Moscow, Mumbai", "geo_city NOT IN ('Moscow', 'Mumbai')"),
+    "NOT_IN": ("geoLocation.city", "Lima, Napier", "geo_city NOT IN ('Lima', 'Napier')"),
     "CONTAINS": ("userAgent", "browser", "user_agent LIKE '%browser%'"),
     "CONTAINS_ANY": ("path", "/admin,/login", "path LIKE '%/admin%' OR path LIKE '%/login%'"),
-    "STARTS_WITH": ("path", "/api/", "path LIKE '/api/%'"),
+    "STARTS_WITH": ("path", "/feeds/", "path LIKE '/feeds/%'"),
     "ENDS_WITH": ("path", "s", "path LIKE '%s'"),
     "REGEX_MATCH": ("clientIp", r"203\.0\.113\.[0-9]", r"regexp_full_match(client_ip, '203\.0\.113\.[0-9]')"),
-    "BETWEEN": ("statusCode", "400,402", "status_code BETWEEN 400 AND 402"),
+    "BETWEEN": ("statusCode", "300,303", "status_code BETWEEN 300 AND 303"),
     "EXISTS": ("geoLocation", "true", "geo_country IS NOT NULL"),
 }
 
 FILTER_FROM, FILTER_TO = "2024-01-03 00:00:00", "2024-01-24 12:00:00"
 FILTERED = (
-    f"config_id = 14227 AND \"timestamp\" >= TIMESTAMP '{FILTER_FROM}' AND \"timestamp\" <= TIMESTAMP '{FILTER_TO}'"
+    f"config_id = 31 AND \"timestamp\" >= TIMESTAMP '{FILTER_FROM}' AND \"timestamp\" <= TIMESTAMP '{FILTER_TO}'"
 )
 ALERTS_AS_OF = "2024-01-20 00:00:00"
 ALERT_RULES = [
@@ -117,7 +117,8 @@ MESSAGES = f"""{SEC},
 items AS (
   SELECT arrival AS n,
     CASE WHEN arrival % 20 = 19 THEN -arrival ELSE arrival // 4 END AS message_id,
-    arrival % 79 = 3 OR arrival % 83 = 2 OR (arrival % 89 <> 1 AND arrival % 113 = 6) AS malformed
+    arrival % 79 = 3 OR arrival % 83 = 2 OR (arrival % 89 <> 1 AND arrival % 113 = 6)
+    OR arrival % 127 = 11 OR arrival % 131 = 13 OR (arrival % 89 <> 1 AND arrival % 137 = 17) AS malformed
   FROM sec
 ),
 placed AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY n) - 1 AS position FROM items),
@@ -334,4 +335,7 @@ def oracle_sql() -> dict[str, str]:
     sql["stream_timeseries"] = f"""WITH {STORED} SELECT {hours} AS bucket_start,
           CAST(count(*) AS BIGINT) AS event_count FROM stored GROUP BY 1"""
     sql["stream_alerts"] = sql["alerts"]
+    sql["stream_rejects"] = f"WITH {SEC} SELECT arrival FROM sec WHERE arrival % 50 = 7"
+    for name in ("total_events", "by_category", "by_action", "top_attackers", "top_paths", "summary", "timeseries_1h"):
+        sql[f"{name}_all"] = sql[name].replace(FILTERED, "TRUE")
     return sql

@@ -25,7 +25,7 @@ from threatloom.operators.shape import to_stored
 from threatloom.operators.store import append_once
 from threatloom.operators.windows import STRETCH, first_sight, offender_count
 from threatloom.schema import DEDUP_RETENTION_SECONDS, OFFENDER_WINDOW_SECONDS
-from threatloom.streaming.logs import good, read_raw
+from threatloom.streaming.logs import bad, good, read_raw
 
 _SIGHTINGS = T.StructType(
     [
@@ -39,14 +39,18 @@ _SIGHTINGS = T.StructType(
 )
 
 
+TRIGGERED_AT = "triggered_at"
+
+
 def received(messages: DataFrame) -> DataFrame:
     """(arrival, received_at, rawEvent, correlationId, occurredAt) of readable raw messages.
 
-    The receipt time is the trigger's clock, which a retried batch sees again unchanged.
+    The receipt time is the trigger's clock, which a retried batch sees again unchanged; the
+    stream puts it beside each message.
     """
-    return good(read_raw(messages)).select(
+    return good(read_raw(messages, TRIGGERED_AT)).select(
         "arrival",
-        F.current_timestamp().alias("received_at"),
+        F.col(TRIGGERED_AT).alias("received_at"),
         F.col("payload").alias("rawEvent"),
         "correlationId",
         "occurredAt",
@@ -57,11 +61,9 @@ _HOUR = 3_600_000_000
 
 
 def earlier_sightings(spark: SparkSession, path: str, batch_id: int, first_hour: int, last_hour: int) -> DataFrame:
-    """What earlier batches saw in the given hours; folders of other hours are not even listed."""
-    hours = range(first_hour, last_hour + 1)
-    folders = path if len(hours) > 1000 else f"{path}/hour={{{','.join(map(str, hours))}}}"
+    """What earlier batches saw in the given hours; the filter on `hour` leaves out other hours' folders."""
     try:
-        log = spark.read.schema(_SIGHTINGS).option("basePath", path).parquet(folders)
+        log = spark.read.schema(_SIGHTINGS).parquet(path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
@@ -106,6 +108,7 @@ def start_enrichment(
     rules: Callable[[], DataFrame],
     receive: Callable[[DataFrame], DataFrame] = received,
     ids_keep_their_day: bool = False,
+    rejects_path: str | None = None,
     publish: Callable[[DataFrame, int], None] | None = None,
     stretch: int = STRETCH,
     available_now: bool = False,
@@ -115,15 +118,22 @@ def start_enrichment(
 
     `ids_keep_their_day` goes to `append_once`: set it where an id never changes its timestamp,
     so that a batch searches its own days for known ids and not the whole table.
-    `rules` is called for each batch. `publish` may forward a batch's enriched rows as well.
+    Messages that cannot be read are written to `rejects_path`, by default `rejects` beside the
+    sightings, in a folder of their batch. `rules` is called for each batch. `publish` may forward a batch's enriched rows as well.
     `stretch` is explained at `enrich`.
     """
 
+    rejects = rejects_path or f"{sightings_path.rstrip('/')}-rejects"
+
     def handle(messages: DataFrame, batch_id: int) -> None:
-        batch = messages.persist()
+        messages = messages.persist()
+        refused = bad(read_raw(messages)).withColumn("batch", F.lit(batch_id).cast("bigint"))
+        refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
+        batch = receive(messages).persist()
         bounds = batch.agg(F.min(F.unix_micros("received_at")), F.max(F.unix_micros("received_at"))).first()
         if bounds[0] is None:
             batch.unpersist()
+            messages.unpersist()
             return
         earlier = earlier_sightings(batch.sparkSession, sightings_path, batch_id, bounds[0] // _HOUR - 1, bounds[1] // _HOUR)
         fresh = first_sights(batch, earlier).persist()
@@ -134,9 +144,10 @@ def start_enrichment(
             if publish is not None:
                 publish(enriched, batch_id)
         finally:
-            for cached in (enriched, fresh, batch):
+            for cached in (enriched, fresh, batch, messages):
                 cached.unpersist()
 
-    writer = receive(raw_messages).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    stamped = raw_messages.withColumn(TRIGGERED_AT, F.current_timestamp())
+    writer = stamped.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()

@@ -65,18 +65,18 @@ def enriched_messages(envelopes: DataFrame) -> DataFrame:
     return envelopes.select(_message(_ENVELOPE, F.col("payload.rawEvent.configId").cast("string")))
 
 
-def read_raw(messages: DataFrame) -> DataFrame:
-    """(arrival, correlationId, occurredAt, version, payload); `payload` is null for bad messages."""
-    return _open(messages, RAW_ENVELOPE)
+def read_raw(messages: DataFrame, *kept: str) -> DataFrame:
+    """(arrival, correlationId, occurredAt, version, payload) and the columns `kept`; `payload` is null for bad messages."""
+    return _open(messages, RAW_ENVELOPE, *kept)
 
 
 def read_enriched(messages: DataFrame) -> DataFrame:
     return _open(messages, ENRICHED_ENVELOPE)
 
 
-def _open(messages: DataFrame, schema) -> DataFrame:
+def _open(messages: DataFrame, schema, *kept: str) -> DataFrame:
     """Unknown fields are ignored; the text is kept so that bad messages can be set aside."""
-    return messages.withColumn("envelope", F.from_json("value", schema)).select("arrival", "value", "envelope.*")
+    return messages.withColumn("envelope", F.from_json("value", schema)).select("arrival", "value", *kept, "envelope.*")
 
 
 def good(opened: DataFrame) -> DataFrame:
