@@ -131,8 +131,9 @@ def check_messages(messages: DataFrame) -> DataFrame:
     lone = F.schema_of_variant(body).startswith("OBJECT")
     wholes = F.when(lone, F.array(body)).otherwise(F.try_variant_get(body, "$", "array<variant>"))
     read = messages.withColumns({"items": F.from_json("value", _ITEMS), "_wholes": wholes})
-    opened = F.transform("items", lambda item, i: _opened(item, F.get(F.col("_wholes"), i)))
-    parsed = read.withColumn("items", opened).drop("_wholes")
+    # Pairing binds each variant to a variable; looked up by place, the body would be parsed again for every use.
+    paired = F.coalesce("_wholes", F.array().cast("array<variant>"))
+    parsed = read.withColumn("items", F.zip_with("items", paired, _opened)).drop("_wholes")
     # One walk over the items yields both answers.
     judged = parsed.withColumn(
         "_judged",

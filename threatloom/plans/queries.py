@@ -167,7 +167,7 @@ def summary_document(spark, sf_dir):
 
 
 def find_by_config(spark, sf_dir):
-    return analytics.find_by_config(stored_events(spark, sf_dir), 20351).select("event_id", "config_id", "path")
+    return analytics.find_by_config(stored_events(spark, sf_dir), testdata.CONFIG_IDS[1]).select("event_id", "config_id", "path")
 
 
 def count_all(spark, sf_dir):

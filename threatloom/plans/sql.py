@@ -248,7 +248,7 @@ def oracle_sql() -> dict[str, str]:
               avg(threat_score) AS average_threat_score FROM enriched GROUP BY category""",
         "total_events": f"WITH {STORED} SELECT CAST(count(*) AS BIGINT) AS total_events FROM stored WHERE {FILTERED}",
         "count_all": "SELECT CAST(count(*) AS BIGINT) AS stored_events FROM events",
-        "find_by_config": f"WITH {STORED} SELECT event_id, config_id, path FROM stored WHERE config_id = 20351",
+        "find_by_config": f"WITH {STORED} SELECT event_id, config_id, path FROM stored WHERE config_id = 32",
         "by_category": f"""WITH {STORED} SELECT category, CAST(count(*) AS BIGINT) AS event_count,
               avg(threat_score) AS average_threat_score FROM stored WHERE {FILTERED} GROUP BY category""",
         "by_action": f"""WITH {STORED} SELECT action, CAST(count(*) AS BIGINT) AS event_count FROM stored
