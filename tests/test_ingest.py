@@ -113,12 +113,12 @@ def test_log_round_trip_and_bad_messages(spark):
 
 def test_kafka_columns(spark):
     records = spark.sql(
-        """SELECT CAST('k' AS BINARY) AS key, CAST('v' AS BINARY) AS value, CAST(7 AS BIGINT) AS offset,
+        """SELECT CAST('k' AS BINARY) AS key, CAST('v' AS BINARY) AS value, CAST(7 AS BIGINT) AS offset, 3 AS partition,
            array(struct('x-correlation-id' AS key, CAST('old' AS BINARY) AS value),
                  struct('other' AS key, CAST('z' AS BINARY) AS value),
                  struct('x-correlation-id' AS key, CAST('new' AS BINARY) AS value)) AS headers"""
     )
-    assert rows(kafka_messages(records), "key", "value", "correlation", "arrival") == [("k", "v", "new", 7)]
+    assert rows(kafka_messages(records), "key", "value", "correlation", "arrival") == [("k", "v", "new", 7 * 64 + 3)]
     bare = records.withColumn("headers", F.lit(None).cast(records.schema["headers"].dataType))
     assert rows(kafka_messages(bare), "correlation") == [(None,)]
 

@@ -1,5 +1,6 @@
 import shutil
 
+import pytest
 from build import raw_events, rows, stored
 from pyspark.sql import functions as F
 
@@ -88,6 +89,31 @@ def test_an_id_is_new_again_after_an_hour(spark, tmp_path):
     assert rows(enrichment.first_sights(later.filter("arrival = 2"), earlier), "arrival") == [(2,)]
 
 
+def test_the_cut_into_batches_changes_no_first_sight(spark):
+    """Copies of one id up to three hours apart, two of them at one instant."""
+    times = ["14:00", "14:59", "15:00", "15:00", "15:30", "16:10", "17:09", "17:10"]
+    raw = raw_events(spark, [{"received_at": f"2026-05-20T{t}:00Z"} for t in times]).cache()
+    seen = "rawEvent.eventId AS event_id", "rawEvent.clientIp AS client", "received_at", "arrival"
+    none = raw.limit(0).selectExpr(*seen)
+    whole = [r[0] for r in rows(enrichment.first_sights(raw, none).orderBy("arrival"), "arrival")]
+    assert whole == [0, 2, 5, 7]
+    for cut in (1, 3, 5, 6):
+        first = enrichment.first_sights(raw.filter(F.col("arrival") < cut), none).cache()
+        later = enrichment.first_sights(raw.filter(F.col("arrival") >= cut), first.selectExpr(*seen))
+        assert sorted(r[0] for r in rows(first, "arrival") + rows(later, "arrival")) == whole
+
+
+def test_records_of_two_partitions_have_positions_of_their_own(spark):
+    made = "named_struct('key', '', 'value', binary(''))"
+    records = spark.range(6).selectExpr(
+        "'k' AS key", "'v' AS value", f"filter(array({made}), x -> false) AS headers", "int(id % 2) AS partition", "id div 2 AS offset"
+    )
+    placed = [r[0] for r in rows(logs.kafka_messages(records), "arrival")]
+    assert len(set(placed)) == 6 and placed[::2] == sorted(placed[::2]) and placed[1::2] == sorted(placed[1::2])
+    with pytest.raises(Exception, match="partition number"):
+        logs.kafka_messages(records, partitions=1).collect()
+
+
 def test_alerts_after_each_batch(spark, tmp_path):
     base, seen = str(tmp_path), []
     rules = alert_rules(spark, [("a", "INJECTION", 15, 60)])

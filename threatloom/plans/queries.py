@@ -16,7 +16,7 @@ from threatloom.plans.sql import ALERT_RULES, ALERTS_AS_OF, FILTER_FROM, FILTER_
 from threatloom.schema import MESSAGE
 from threatloom.session import scratch_dir
 from threatloom.sources import tables, testdata
-from threatloom.streaming import enrichment, gateway, live, logs, state
+from threatloom.streaming import enrichment, gateway, live, logs, state, storing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -216,6 +216,18 @@ def evaluated_alerts(spark, sf_dir):
     return alerts.evaluate_alerts(stored_events(spark, sf_dir), rules, ALERTS_AS_OF).select(*_ALERT_COLUMNS)
 
 
+def alert_rules_stored(spark, sf_dir):
+    """A rule per category, saved and read back: more events in a week than it has denied ones in all."""
+    events = stored_events(spark, sf_dir)
+    denied = (F.count_if(F.col("action") == "DENY") + 1).alias("threshold")
+    rules = events.groupBy("category").agg(denied).withColumns(
+        {"id": F.concat(F.lit("rule-"), F.col("category")), "window_minutes": F.lit(10080)}
+    )
+    path = scratch_dir(spark, "alert-rules")
+    tables.save_alert_rules(rules, path)
+    return alerts.evaluate_alerts(events, tables.read_alert_rules(spark, path), ALERTS_AS_OF).select(*_ALERT_COLUMNS)
+
+
 def alert_rule_violations(spark, sf_dir):
     """One alert rule per event, a part of them unusable."""
     k = F.col("rawEvent.requestSize").cast("int") - 64
@@ -390,6 +402,23 @@ def rules_delete(spark, sf_dir):
     return rule_table.delete_rules(current, gone.select(F.concat(F.lit("block-"), F.col("client_ip")).alias("id")).distinct())
 
 
+def rules_delete_all_stored(spark, sf_dir):
+    """A stored rule table before and after all its rules were deleted."""
+    path = scratch_dir(spark, "rules")
+    rule_table.write_rules(_rule_rows(spark, sf_dir)[0], path)
+    before = rule_table.load_rules(spark, path)
+    rule_table.write_rules(rule_table.delete_rules(before, before.select("id")), path)
+    counts = {"before": before, "after": rule_table.load_rules(spark, path)}
+    before, after = (frame.agg(F.lit(name).alias("moment"), F.count(F.lit(1)).alias("rules")) for name, frame in counts.items())
+    return before.unionByName(after)
+
+
+def rules_seed(spark, sf_dir):
+    """Rules of another type do not count: the default rules are added to them."""
+    others = _rule_rows(spark, sf_dir)[0].withColumn("type", F.lit("BLOCKING"))
+    return rule_table.seed_rules(spark, others)
+
+
 def rules_violations(spark, sf_dir):
     _, changes = _rule_rows(spark, sf_dir)
     broken = changes.withColumns(
@@ -449,6 +478,33 @@ def stream_enrich(spark, sf_dir):
     return tables.read_events(spark, f"{base}/events").select("event_id", "client_ip", "threat_score", "attack_type")
 
 
+def stream_store(spark, sf_dir):
+    """The write path publishes what it scored; every fiftieth message is cut short on its way to the store stage."""
+    base = scratch_dir(spark, "stream-store")
+    logs.write_log(logs.raw_messages(_envelopes(testdata.raw_events(spark, sf_dir).withColumn("payload", F.col("rawEvent")))), f"{base}/log")
+
+    def replay(messages: DataFrame) -> DataFrame:
+        return enrichment.received(messages).withColumn("received_at", F.col("occurredAt"))
+
+    def publish(enriched: DataFrame, _: int) -> None:
+        sent = logs.enriched_messages(logs.enriched_envelopes(enriched))
+        short = F.when(F.col("arrival") % 50 == 7, F.substring("value", 1, 40)).otherwise(F.col("value"))
+        logs.write_log(sent.withColumn("value", short), f"{base}/enriched")
+
+    enrichment.start_enrichment(
+        logs.read_folder(spark, f"{base}/log"), f"{base}/events", f"{base}/sightings", f"{base}/checkpoint",
+        partial(tables.default_rules, spark), replay, publish=publish, available_now=True,
+    ).awaitTermination()
+    storing.start_store(
+        logs.read_folder(spark, f"{base}/enriched"), f"{base}/stored", f"{base}/refused", f"{base}/store-checkpoint", available_now=True
+    ).awaitTermination()
+    sent = spark.read.schema(MESSAGE).parquet(f"{base}/enriched").select("key", "correlation", "arrival")
+    stored = tables.read_events(spark, f"{base}/stored").select("event_id", "threat_score", F.col("received_at").alias("occurred_at"))
+    refused = spark.read.parquet(f"{base}/refused").select("arrival", F.lit(True).alias("refused"))
+    told = sent.join(stored, F.col("arrival").cast("string") == F.col("event_id"), "left").join(refused, "arrival", "left")
+    return _naive(told.select("arrival", "key", "correlation", "threat_score", "occurred_at", F.coalesce("refused", F.lit(False)).alias("refused")))
+
+
 def stream_rejects(spark, sf_dir):
     """Every fiftieth raw message arrives cut short; the write path sets those aside."""
     base = scratch_dir(spark, "stream-rejects")
@@ -551,6 +607,7 @@ def queries() -> dict[str, Query]:
         "enriched_summary": enriched_summary,
         "enriched_by_category": enriched_by_category,
         "stream_rejects": stream_rejects,
+        "stream_store": stream_store,
         **{f"{name}_all": partial(over_all, question) for name, question in _UNFILTERED.items()},
         "total_events": partial(over_filtered, analytics.total_events),
         "by_category": partial(over_filtered, analytics.by_category),
@@ -567,6 +624,7 @@ def queries() -> dict[str, Query]:
         "samples_response": samples_response,
         "count_category_within": count_category_within,
         "alerts": evaluated_alerts,
+        "alert_rules_stored": alert_rules_stored,
         "alert_rule_violations": alert_rule_violations,
         "quota_flags": quota_flags,
         "client_key": client_keys,
@@ -582,6 +640,8 @@ def queries() -> dict[str, Query]:
         "export_json": export_json,
         "rules_upsert": rules_upsert,
         "rules_delete": rules_delete,
+        "rules_delete_all_stored": rules_delete_all_stored,
+        "rules_seed": rules_seed,
         "rules_violations": rules_violations,
         "stream_ingest": stream_ingest,
         "stream_enrich": stream_enrich,

@@ -4,6 +4,8 @@ Written from the definition of each question, not from the Spark plans: windows
 self-joins, quotas a recursion over requests, rules plain conditions.
 """
 
+from threatloom.sources.tables import DEFAULT_RULES
+
 # `events` rows as security events; the twin of `sources/testdata.py`.
 SEC = """
 ids AS (
@@ -110,6 +112,10 @@ ALERT_RULES = [
     ("bot-minute", "BOT", 1, 1),
     ("dos-month", "DOS", 1, 43200),
 ]
+_SEEDED = ", ".join(
+    f"('{i}', 'SCORING', '{title}', '{fact}', '{operator}', '{operand}', '{points}', {priority}, TRUE)"
+    for i, title, fact, operator, operand, points, priority in DEFAULT_RULES
+)
 _ALERT_VALUES = ", ".join(f"('{i}', '{c}', {t}, {w})" for i, c, t, w in ALERT_RULES)
 
 # What `ingest_messages` breaks on purpose, by event number.
@@ -311,6 +317,19 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT * FROM current_rules WHERE id NOT IN (SELECT id FROM changes)""",
         "rules_delete": f"""WITH {RULE_ROWS} SELECT * FROM current_rules
             WHERE id NOT IN (SELECT 'block-' || client_ip FROM sec WHERE k = 7)""",
+        "rules_delete_all_stored": f"""WITH {RULE_ROWS} SELECT 'before' AS moment, CAST(count(*) AS BIGINT) AS rules
+            FROM current_rules UNION ALL SELECT 'after', 0""",
+        "rules_seed": f"""WITH {RULE_ROWS} SELECT * REPLACE ('BLOCKING' AS type) FROM current_rules
+            UNION ALL VALUES {_SEEDED}""",
+        "alert_rules_stored": f"""WITH {SEC}, r AS (SELECT 'rule-' || category AS rule_id, category,
+                count(*) FILTER (action = 'DENY') + 1 AS threshold FROM sec GROUP BY category),
+              c AS (SELECT r.*, (SELECT count(*) FROM sec WHERE sec.category = r.category AND "timestamp"
+                BETWEEN TIMESTAMP '{ALERTS_AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{ALERTS_AS_OF}') AS event_count FROM r)
+            SELECT rule_id, category, CAST(threshold AS INTEGER) AS threshold, CAST(10080 AS INTEGER) AS window_minutes,
+              CAST(event_count AS BIGINT) AS event_count, event_count >= threshold AS firing FROM c""",
+        "stream_store": f"""WITH {COUNTED} SELECT arrival, CAST(config_id AS VARCHAR) AS key, 'corr-' || arrival AS correlation,
+              CASE WHEN arrival % 50 <> 7 THEN threat_score END AS threat_score,
+              CASE WHEN arrival % 50 <> 7 THEN received_at END AS occurred_at, arrival % 50 = 7 AS refused FROM enriched""",
         "rules_violations": f"""WITH {RULE_ROWS} SELECT id, title, 'operator' AS field FROM changes WHERE priority % 5 = 1
             UNION ALL SELECT id, title, 'operand' FROM changes WHERE priority % 7 = 1""",
         "alert_rule_violations": f"""WITH {SEC} SELECT event_id, field FROM sec,

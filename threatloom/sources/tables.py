@@ -59,5 +59,11 @@ def alert_rules(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(filled, ALERT_RULE)
 
 
+def save_alert_rules(rules: DataFrame, path: str) -> None:
+    """Add alert rules to the stored ones; a rule without an id gets a new one."""
+    named = rules.withColumn("id", F.coalesce(F.nullif(F.trim("id"), F.lit("")), F.uuid()))
+    named.select([F.col(f.name).cast(f.dataType) for f in ALERT_RULE.fields]).write.mode("append").parquet(path)
+
+
 def read_alert_rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ALERT_RULE).parquet(path)

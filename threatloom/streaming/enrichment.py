@@ -14,7 +14,7 @@ in the last hour and when each client was seen in the last ten minutes — is a
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -71,11 +71,35 @@ def earlier_sightings(spark: SparkSession, path: str, batch_id: int, first_hour:
     return log.filter(F.col("hour").between(first_hour, last_hour) & (F.col("batch") < batch_id))
 
 
+_RETENTION = DEDUP_RETENTION_SECONDS * 1_000_000
+
+
+def _sights(instants: Column) -> Column:
+    """Of an id's instants in order, those at which it is new: each at least the retention time after the last such."""
+
+    def take(taken: Column, at: Column) -> Column:
+        new = F.coalesce(at >= F.try_element_at(taken, F.lit(-1)) + _RETENTION, F.lit(True))
+        return F.when(new, F.array_append(taken, at)).otherwise(taken)
+
+    return F.aggregate(instants, F.array().cast("array<bigint>"), take)
+
+
 def first_sights(batch: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Rows whose id neither comes earlier in the batch nor was seen within the retention time."""
+    """Rows at which their id is new: never seen, or last counted as new the retention time ago or longer.
+
+    The same holds inside a batch and across batches, so a replay gives one result however it is
+    cut. Of copies at one instant the first in the log stays. Rows without id drop out. What is
+    gathered per id is its distinct receipt times in this batch: one where the trigger's clock is
+    the receipt time, and at most the rows of a batch, which the source's rate limit bounds.
+    """
+    micros = F.unix_micros("received_at")
     known = earlier.select(F.col("event_id").alias("_id"), F.unix_micros("received_at").alias("_seen"))
-    still_known = F.col("_seen") + DEDUP_RETENTION_SECONDS * 1_000_000 > F.unix_micros("received_at")
-    return first_sight(batch, event_id()).join(known, (event_id() == F.col("_id")) & still_known, "left_anti")
+    still_known = F.col("_seen") + _RETENTION > micros
+    unseen = batch.join(known, (event_id() == F.col("_id")) & still_known, "left_anti")
+    instants = unseen.groupBy(event_id().alias("_id")).agg(F.array_sort(F.collect_set(micros)).alias("_all"))
+    new = instants.select("_id", F.explode(_sights(F.col("_all"))).alias("_at"))
+    copies = first_sight(unseen, F.struct(event_id().alias("id"), micros.alias("at")))
+    return copies.join(new, (event_id() == F.col("_id")) & (micros == F.col("_at")), "left_semi")
 
 
 def record_sightings(fresh: DataFrame, batch_id: int, path: str) -> None:

@@ -27,14 +27,27 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, **options: str) ->
     return kafka_messages(stream)
 
 
-def kafka_messages(records: DataFrame) -> DataFrame:
-    """Kafka's columns to a message; the last header of a name counts."""
+#: More partitions than a topic may have; part of every position, so it stays as it is for a topic's life.
+PARTITIONS = 64
+
+
+def kafka_messages(records: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """Kafka's columns to a message; the last header of a name counts.
+
+    `arrival` is offset * partitions + partition: no two records share one, and it rises within a
+    partition, so per client where the topic is keyed by client. A partition number that does not
+    fit fails the query.
+    """
+    fits = F.col("partition") < partitions
+    position = F.when(fits, F.col("offset") * partitions + F.col("partition")).otherwise(
+        F.raise_error(F.lit(f"partition number of {partitions} or more"))
+    )
     named = F.filter("headers", lambda header: header["key"] == CORRELATION_HEADER)
     return records.select(
         F.col("key").cast("string"),
         F.col("value").cast("string"),
         F.try_element_at(named, F.lit(-1))["value"].cast("string").alias("correlation"),
-        F.col("offset").alias("arrival"),
+        position.cast("bigint").alias("arrival"),
     )
 
 
@@ -60,6 +73,17 @@ def raw_messages(envelopes: DataFrame) -> DataFrame:
     return envelopes.select(_message(_ENVELOPE, F.col("payload.clientIp")))
 
 
+def enriched_envelopes(enriched: DataFrame) -> DataFrame:
+    """Envelopes of scored events, with the correlation id and instant of the raw message they came in."""
+    return enriched.select(
+        "arrival",
+        "correlationId",
+        "occurredAt",
+        F.lit(1).alias("version"),
+        F.struct("rawEvent", "attackType", "threatScore", "receivedAt").alias("payload"),
+    )
+
+
 def enriched_messages(envelopes: DataFrame) -> DataFrame:
     """Enriched envelopes keyed by configuration id, as text."""
     return envelopes.select(_message(_ENVELOPE, F.col("payload.rawEvent.configId").cast("string")))
@@ -91,11 +115,21 @@ def write_log(messages: DataFrame, path: str) -> None:
     messages.select(*MESSAGE.names).write.mode("append").parquet(path)
 
 
+def _records(messages: DataFrame) -> DataFrame:
+    header = F.struct(F.lit(CORRELATION_HEADER).alias("key"), F.col("correlation").cast("binary").alias("value"))
+    return messages.select("key", "value", F.array(header).alias("headers"))
+
+
+def send_kafka(messages: DataFrame, servers: str, topic: str, **options: str) -> None:
+    """Send one batch of messages to a topic, as the `publish` hook of the write path may. A repeated batch sends again."""
+    kafka = _records(messages).write.format("kafka").option("kafka.bootstrap.servers", servers)
+    kafka.option("topic", topic).option("includeHeaders", "true").options(**options).save()
+
+
 def publish_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str, **options: str):
     """Stream messages to a topic, the correlation id as a header."""
-    header = F.struct(F.lit(CORRELATION_HEADER).alias("key"), F.col("correlation").cast("binary").alias("value"))
     return (
-        messages.select("key", "value", F.array(header).alias("headers"))
+        _records(messages)
         .writeStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("topic", topic)
