@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.frames import SLICE_BYTES, by_bytes, kept_in_table, quoted
+from threatloom.llm.frames import by_bytes, kept_in_table, quoted
 from threatloom.llm.quality import labelled_sample
 from threatloom.llm.words import words_of
 
@@ -26,39 +26,43 @@ LABELLED_ROWS = 20_000
 #: Features kept: those whose ratio is surest.
 FEATURES = 4096
 SMOOTHING = 1.0
+#: Text bytes of a slice, and bytes whose n-grams are in memory at once: a long text takes no more than a short one.
+_SLICE, _BLOCK = 2 << 20, 1 << 19
 
 
-def gram_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket) of every n-gram of every text, repeats included."""
+def gram_slots(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text number, bucket) of every n-gram of every text, repeats included; those that begin in one block of bytes at a time."""
     words = words_of(texts)
     data = words.data
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = words.first[:-1][np.diff(words.first) > 0]
-    owner = np.zeros(len(data), np.int32)
-    owner[words.start[first[1:]]] = 1
-    owner = np.flatnonzero(np.diff(words.first) > 0)[np.cumsum(owner)]
-    texts_out, slots_out = [], []
-    code = data.astype(np.uint64)
-    for size in range(2, max(SIZES) + 1):
-        if len(data) < size:
-            break
-        code = code[: len(data) - size + 1] * np.uint64(256) + data[size - 1 :]
-        if size in SIZES:
-            inside = owner[: len(code)] == owner[size - 1 :]
-            mixed = (code[inside] + np.uint64(size << 48)) * np.uint64(0x9E3779B97F4A7C15)
-            slots_out.append((mixed >> np.uint64(44)).astype(np.int64))
-            texts_out.append(owner[: len(code)][inside])
-    return np.concatenate(texts_out), np.concatenate(slots_out)
+    some = np.flatnonzero(np.diff(words.first) > 0)
+    edges = words.start[words.first[some]]  # where each text with words begins
+    for begin in range(0, len(data), _BLOCK):
+        part = data[begin : begin + _BLOCK + max(SIZES) - 1]
+        inner = edges[np.searchsorted(edges, begin, side="right") : np.searchsorted(edges, begin + len(part))]
+        turns = np.zeros(len(part), np.int64)
+        turns[inner - begin] = 1
+        owner = some[np.cumsum(turns) + np.searchsorted(edges, begin, side="right") - 1]
+        code = part.astype(np.uint64)
+        for size in range(2, min(max(SIZES), len(part)) + 1):
+            code = code[: len(part) - size + 1] * np.uint64(256) + part[size - 1 :]
+            if size in SIZES:
+                inside = (owner[: len(code)] == owner[size - 1 :])[:_BLOCK]
+                mixed = (code[:_BLOCK][inside] + np.uint64(size << 48)) * np.uint64(0x9E3779B97F4A7C15)
+                yield owner[: len(inside)][inside], (mixed >> np.uint64(44)).astype(np.int64)
 
 
 def _distinct(texts: pa.Array, slot_of: np.ndarray | None = None, features: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature), each pair once. slot_of maps buckets to kept features, -1 to none."""
-    owner, slots = gram_slots(texts)
-    if slot_of is not None:
-        slots = slot_of[slots]
-        owner, slots = owner[slots >= 0], slots[slots >= 0]
-    pairs = np.unique(owner.astype(np.int64) * features + slots)
+    pairs, more, waiting = np.zeros(0, np.int64), [], 0
+    for owner, slots in gram_slots(texts):
+        if slot_of is not None:
+            slots = slot_of[slots]
+            owner, slots = owner[slots >= 0], slots[slots >= 0]
+        more.append(owner * features + slots)
+        waiting += len(slots)
+        if waiting > max(4 * _BLOCK, len(pairs)):  # merged at growing sizes, so that a long text costs no more per byte
+            pairs, more, waiting = np.unique(np.concatenate([pairs, *more])), [], 0
+    pairs = np.unique(np.concatenate([pairs, *more]))
     return pairs // features, pairs % features
 
 
@@ -97,7 +101,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.zeros((2, BUCKETS), dtype=np.int64)
-        for part in by_bytes(batches, "text", SLICE_BYTES // 4):
+        for part in by_bytes(batches, "text", _SLICE):
             owner, slot = _distinct(part.column("text"))
             said = part.column("label").to_numpy()[owner]
             for side in (0, 1):
@@ -121,7 +125,7 @@ def fit(
 
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
-        for part in by_bytes(batches, "text"):
+        for part in by_bytes(batches, "text", _SLICE):
             owner, feature = _distinct(part.column("text"), table, len(buckets))
             cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
             packed = [feature[a:b].astype("<u2").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
@@ -162,7 +166,7 @@ def score(text: Column, model: ToxicityModel) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         table = model.table()
-        parts = [model.scores(part.column("text"), table) for part in by_bytes(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", SLICE_BYTES // 2)]
+        parts = [model.scores(part.column("text"), table) for part in by_bytes(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), "text", _SLICE)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return F.arrow_udf(run, T.DoubleType())(text)
