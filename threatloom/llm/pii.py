@@ -12,9 +12,9 @@ probabilities, and judges every candidate.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -104,16 +104,24 @@ def candidates(text: str, base: list[Span]) -> list[Candidate]:
     """Spans that the looser patterns find and no base span overlaps; the earlier pattern wins an overlap."""
     if not (_ANY_DIGIT.search(text) or " at " in text or "at)" in text or "at]" in text):
         return []
-    taken = [(a, b) for a, b, _ in base]
+    taken: list[tuple[int, int]] = []  # in order and apart, so only the two neighbours of a span can overlap it
+    for a, b, _ in base:
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     found: list[Candidate] = []
     for name, pattern in _CANDIDATES:
         if name == "address" and not (" at " in text or "(at)" in text or "[at]" in text):
             continue
+        free = []
         for m in pattern.finditer(text):
             a, b = m.span()
-            if all(b <= x or a >= y for x, y in taken):
+            at = bisect_left(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
                 found.append(Candidate(a, b, ALL_KINDS.index(name), m.group(), text[max(0, a - CONTEXT) : a].lower(), text[b : b + CONTEXT].lower()))
-                taken.append((a, b))
+                free.append((a, b))
+        taken = sorted(taken + free)
     return sorted(found, key=lambda c: (c.start, c.kind))
 
 
@@ -306,13 +314,14 @@ def mask(text: Column, model: PiiModel) -> Column:
         base = base_spans(body)
         spans = sorted(base + [(c.start, c.end, c.kind) for c in candidates(body, base) if model.accepts(c)])
 
-        def join(done: list[Span], span: Span) -> list[Span]:
-            if done and span[0] < done[-1][1]:
-                return [*done[:-1], (done[-1][0], max(done[-1][1], span[1]), done[-1][2])]
-            return [*done, span]
-
+        apart: list[Span] = []
+        for a, b, k in spans:
+            if apart and a < apart[-1][1]:
+                apart[-1] = (apart[-1][0], max(apart[-1][1], b), apart[-1][2])
+            else:
+                apart.append((a, b, k))
         out, at = [], 0
-        for a, b, k in reduce(join, spans, []):
+        for a, b, k in apart:
             out += [body[at:a], f"<{ALL_KINDS[k]}>"]
             at = b
         return "".join([*out, body[at:]])
