@@ -231,6 +231,44 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_models_count_every_gram(spark):
+    """More n-grams than any fixed table of 2^15 slots has."""
+    random.seed(14)
+    made = lambda letters: "http://" + "".join(random.choice(letters) for _ in range(40))
+    rows = [(made("abcdefghijklmnopqrstuvwxyz"), True) for _ in range(700)] + [(made("mnopqrstuvwxyz0123456789é"), False) for _ in range(700)]
+    grams = [{}, {}]
+    for u, side in rows:
+        u = "\n" * 4 + u + "\n"
+        for at in range(4, len(u)):
+            for k in range(5):
+                g = u[at - k : at + 1]
+                grams[side][g] = grams[side].get(g, 0) + 1
+    assert len(grams[0]) + len(grams[1]) > 1 << 16
+    after = [{}, {}]
+    for side in (0, 1):
+        for g, c in grams[side].items():
+            n, t = after[side].get((len(g), g[:-1]), (0, 0))
+            after[side][len(g), g[:-1]] = n + c, t + 1
+
+    def mean(u):
+        u, total = "\n" * 4 + (u or "") + "\n", 0.0
+        for at in range(4, len(u)):
+            for side in (0, 1):
+                p = 1 / 256
+                for k in range(5):
+                    g = u[at - k : at + 1]
+                    n, t = after[side].get((len(g), g[:-1]), (0, 0))
+                    p = (grams[side].get(g, 0) + t * p) / (n + t) if n else p
+                total += (2 * side - 1) * np.log(p)
+        return total / (len(u) - 4)
+
+    counts = url_filter._counts(spark.createDataFrame(rows, "url string, accepted boolean"))
+    asked = [u for u, _ in rows[::20]] + [made("abcxyz019é") for _ in range(50)] + [None, "", "日本"] + ["same"] * 300
+    pages = spark.createDataFrame([(i, u, 0, 0) for i, u in enumerate(asked)], "page_id long, url string, salt int, mean int")
+    found = {r["page_id"]: r for r in url_filter.with_score(pages, counts, "url").collect()}
+    assert len(found) == len(asked) and all(abs(found[i]["score"] - mean(u)) < 1e-8 and found[i]["url"] == u for i, u in enumerate(asked))
+
+
 def test_toxicity(spark):
     random.seed(13)
     clean = ["stone river", "quiet lamp", "green field", "wide road"]

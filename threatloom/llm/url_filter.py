@@ -4,24 +4,30 @@ Accepted and rejected URLs each train a Markov model of variable order: the chan
 character given up to ORDER characters before it, each order smoothed with the one below by the
 number of different characters seen after the context (Witten and Bell). A URL's score is the
 difference of the two log-likelihoods per character; the threshold is calibrated on labelled
-URLs kept out of training. All of it is built-in expressions. Contexts are hashed into BUCKETS
-slots, so the models have a fixed size and reach the rows as a scalar subquery.
+URLs kept out of training. All of it is built-in expressions and joins. Counts are exact, one
+row per n-gram, and as many as the URLs have: nothing is hashed into a table of fixed size.
+
+What a place in a URL adds depends on its last ORDER + 1 characters only, so it is worked out
+once per different n-gram, from the shortest order up. A join or window on the way meets at
+most one row per character of the alphabet for each key. Only n-grams that very many places
+share, and URLs of very many pages, are dealt out by a salt.
 """
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.llm.frames import fresh, quoted
+from threatloom.llm.frames import fresh, kept_in_table, quoted
 from threatloom.llm.quality import best_cut
 
 ORDER = 4
-BUCKETS = 1 << 15
 ALPHABET = 256.0
 HELD_OUT = 5  # one in so many labelled URLs calibrates the threshold
 LIMIT, BIN = 10.0, 0.01
 _START = "\n" * ORDER
+UNIT = float(1 << 36)  # log-likelihoods are summed in whole numbers, so their order does not matter
+HOT, SALTS = 512, 64  # keys with over 1 / HOT of all rows, so HOT at most, are split in SALTS
 
 Rule = tuple[str, str]  # verdict, host/path
 
@@ -52,83 +58,88 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 # ---- Markov models -----------------------------------------------------------------------
 
 
-def _slot(*values: Column) -> Column:
-    return F.pmod(F.xxhash64(*values), F.lit(BUCKETS)).cast("int")
+def _grams(url: Column) -> Column:
+    """The ORDER + 1 characters up to each place, of start marks, the characters and an end mark."""
+    padded = F.concat(F.lit(_START), F.coalesce(url, F.lit("")), F.lit("\n"))
+    bound = F.array(F.struct(padded.alias("u")))
+    return F.get(
+        F.transform(bound, lambda b: F.transform(F.sequence(F.lit(1), F.length(b["u"]) - ORDER), lambda at: F.substring(b["u"], at, F.lit(ORDER + 1)))),
+        F.lit(0),
+    )
 
 
-def _padded(url: Column) -> Column:
-    """Start marks, the characters, an end mark."""
-    return F.concat(F.lit(_START), F.coalesce(url, F.lit("")), F.lit("\n"))
+def _counts(labelled: DataFrame) -> DataFrame:
+    """(gram, yes, no): how often accepted and rejected URLs have each n-gram of ORDER + 1 characters."""
+    places = labelled.select("accepted", F.explode(_grams(F.col("url"))).alias("gram"))
+    return places.groupBy("gram").agg(F.count_if("accepted").alias("yes"), F.count_if(~F.col("accepted")).alias("no"))
 
 
-def _counts(labelled: DataFrame) -> DataFrame:
-    """(accepted, slot, c, n, t): of each class and slot, the n-grams, the context's characters and its different ones."""
-    text = labelled.select("accepted", _padded(F.col("url")).alias("u"))
-    at = text.select("accepted", "u", F.explode(F.sequence(F.lit(ORDER + 1), F.length("u"))).alias("at"))
-    grams = at.select(
-        "accepted", F.substring(F.col("u"), F.col("at") - ORDER, F.lit(ORDER)).alias("before"), F.substring(F.col("u"), F.col("at"), F.lit(1)).alias("next")
-    )
-    # Whole n-grams are added up on the map side first; the shorter contexts follow from their sums.
-    full = grams.groupBy("accepted", "before", "next").agg(F.count(F.lit(1)).alias("c"))
-    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("k")
-    every = full.select("accepted", "before", "next", "c", orders).select(
-        "accepted", "k", F.right("before", F.col("k")).alias("context"), "next", "c"
-    )
-    gram = every.groupBy("accepted", "k", "context", "next").agg(F.sum("c").alias("c"))
-    context = gram.groupBy("accepted", "k", "context").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("t"))
+def _gains(counts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, gain) for each row of `asked` (gram, each once): the log of its chance in accepted URLs over that in rejected ones."""
     zero = F.lit(0).cast("long")
-    by_gram = gram.select("accepted", _slot(F.col("k"), F.col("context"), F.col("next")).alias("slot"), "c", zero.alias("n"), zero.alias("t"))
-    by_context = context.select("accepted", _slot(F.col("k"), F.col("context")).alias("slot"), zero.alias("c"), "n", "t")
-    both = by_gram.unionByName(by_context).groupBy("accepted", "slot")
-    return both.agg(*[F.sum(name).cast("double").alias(name) for name in ("c", "n", "t")])
-
-
-def _tables(counts: DataFrame) -> DataFrame:
-    """One row: for each class an array of (c, n, t), BUCKETS long."""
-    spark = counts.sparkSession
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("slot"))
-    zero = F.struct(*[F.lit(0.0).alias(name) for name in ("c", "n", "t")])
-    sides = counts.groupBy("slot").agg(
-        *[F.max(F.when(F.col("accepted") == side, F.struct("c", "n", "t"))).alias(name) for side, name in ((True, "yes"), (False, "no"))]
-    )
-    filled = every.join(sides, "slot", "left").select("slot", *[F.coalesce(name, zero).alias(name) for name in ("yes", "no")])
-    listed = filled.agg(F.array_sort(F.collect_list(F.struct("slot", "yes", "no"))).alias("all"))
-    return listed.select(F.struct(F.col("all")["yes"].alias("yes"), F.col("all")["no"].alias("no")).alias("model"))
+    both = counts.select("gram", "yes", "no").unionByName(asked.select("gram", zero.alias("yes"), zero.alias("no")))
+    # n-grams of all orders; their length tells the order, and that of a context too.
+    sizes = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1))).alias("size")
+    every = both.groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).select(F.col("gram").alias("whole"), "yes", "no", sizes)
+    every = every.groupBy(F.right("whole", F.col("size")).alias("gram")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    after = Window.partitionBy(F.left("gram", F.length("gram") - 1))
+    seen = [f(F.col(c)).over(after).alias(f"{name}_{c}") for c in ("yes", "no") for name, f in (("n", F.sum), ("t", lambda c: F.count_if(c > 0)))]
+    every = kept_in_table(every.select("gram", "yes", "no", *seen), "url-grams")
+
+    def chance(c: str, below: Column) -> Column:
+        total = F.col(f"n_{c}") + F.col(f"t_{c}")
+        return F.when(total > 0, (F.col(c) + F.col(f"t_{c}") * below) / total).otherwise(below).alias(f"p_{c}")
+
+    found = every.filter(F.length("gram") == 1).select("gram", *[chance(c, F.lit(1 / ALPHABET)) for c in ("yes", "no")])
+    for size in range(2, ORDER + 2):
+        below = found.select(F.col("gram").alias("shorter"), F.col("p_yes").alias("b_yes"), F.col("p_no").alias("b_no"))
+        longer = every.filter(F.length("gram") == size).withColumn("shorter", F.right("gram", F.lit(size - 1)))
+        found = longer.join(below, "shorter").select("gram", *[chance(c, F.col(f"b_{c}")) for c in ("yes", "no")])
+    gain = F.log("p_yes") - F.log("p_no")
+    return asked.select("gram").join(found, "gram").select("gram", F.round(gain * UNIT).cast("long").alias("gain"))
+
+
+def _hot(counted: DataFrame, key: str) -> list:
+    """Keys (key, rows) that hold over 1 / HOT of all rows."""
+    total = counted.agg(F.sum("rows")).first()[0] or 0
+    return [r[0] for r in counted.filter(F.col("rows") * HOT > total).filter(F.col("rows") > SALTS).select(key).collect()]
+
+
+def _salts(key: Column, hot: list) -> Column:
+    """All salts of a key, to be exploded."""
+    one = F.array(F.lit(0))
+    return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(one) if hot else one
+
+
+def _salt(key: Column, hot: list, by: Column) -> Column:
+    return F.when(key.isin(hot), F.pmod(by, F.lit(SALTS)).cast("int")).otherwise(0) if hot else F.lit(0)
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """`tables` is a one-row frame with both models."""
+    """`counts` has a row (gram, yes, no) for each n-gram of the training URLs."""
 
-    tables: DataFrame
+    counts: DataFrame
     threshold: float
 
 
-def with_score(frame: DataFrame, tables: DataFrame, url: str, score: str = "score") -> DataFrame:
+def with_score(frame: DataFrame, counts: DataFrame, url: str, score: str = "score") -> DataFrame:
     """Add the log-likelihood difference per character, end mark included. A null URL scores as an empty one."""
-    (model,) = fresh(frame, "model")
-
-    def chance(side: Column, u: Column, at: Column) -> Column:
-        p = F.lit(1 / ALPHABET)
-        for k in range(ORDER + 1):
-            context = F.substring(u, at - k, F.lit(k)) if k else F.lit("")
-            seen = F.get(side, _slot(F.lit(k), context))
-            gram = F.get(side, _slot(F.lit(k), context, F.substring(u, at, F.lit(1))))
-            total = seen["n"] + seen["t"]
-            p = (gram["c"] + F.when(total > 0, seen["t"]).otherwise(1.0) * p) / F.when(total > 0, total).otherwise(1.0)
-        return p
-
-    def mean(both: Column) -> Column:
-        u, m = both["u"], both["m"]
-        places = F.sequence(F.lit(ORDER + 1), F.length(u))
-        total = F.aggregate(
-            places, F.lit(0.0), lambda sum_, at: sum_ + F.log(chance(m["yes"], u, at)) - F.log(chance(m["no"], u, at))
-        )
-        return total / (F.length(u) - ORDER)
-
-    bound = F.array(F.struct(_padded(quoted(url)).alias("u"), quoted(model).alias("m")))
-    with_model = frame.withColumn(model, tables.scalar())
-    return with_model.withColumn(score, F.get(F.transform(bound, mean), F.lit(0))).drop(model)
+    text = F.coalesce(quoted(url), F.lit(""))
+    # Different URLs, numbered; the numbers stand once they are written.
+    urls = frame.groupBy(text.alias("url")).agg(F.count(F.lit(1)).alias("rows"))
+    urls = kept_in_table(urls.withColumn("number", F.monotonically_increasing_id()), "urls")
+    places = urls.select("number", F.explode(_grams(F.col("url"))).alias("gram"))
+    asked = kept_in_table(places.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")), "url-asked")
+    hot = _hot(asked, "gram")
+    gains = kept_in_table(_gains(counts, asked), "url-gains").withColumn("salt", F.explode(_salts(F.col("gram"), hot)))
+    places = places.withColumn("salt", _salt(F.col("gram"), hot, F.col("number")))
+    sums = places.join(gains, ["gram", "salt"]).groupBy("number").agg((F.sum("gain") / UNIT / F.count(F.lit(1))).alias("mean"))
+    hot = _hot(urls, "url")
+    key, salt, mean = fresh(frame, "key", "salt", "mean")
+    told = urls.join(sums, "number").select(F.col("url").alias(key), F.explode(_salts(F.col("url"), hot)).alias(salt), F.col("mean").alias(mean))
+    keyed = frame.withColumns({key: text, salt: _salt(text, hot, F.monotonically_increasing_id())})
+    return keyed.join(told, [key, salt]).withColumn(score, quoted(mean)).drop(key, salt, mean)
 
 
 def fit(labelled: DataFrame) -> UrlModel:
@@ -137,16 +148,13 @@ def fit(labelled: DataFrame) -> UrlModel:
     The threshold parts the two classes best on those (of equals the lowest). If a class has no
     rows there, everything is accepted.
     """
-    spark = labelled.sparkSession
     known = labelled.filter("url IS NOT NULL AND accepted IS NOT NULL").select("url", "accepted")
     apart = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
-    # Computed once and handed on as a row of fixed size.
-    row = _tables(_counts(known.filter(~apart)))
-    tables = spark.createDataFrame([row.first()], row.schema)
-    scored = with_score(known.filter(apart), tables, "url")
+    counts = kept_in_table(_counts(known.filter(~apart)), "url-counts")
+    scored = with_score(known.filter(apart), counts, "url")
     bin_ = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.col("score"), F.lit(LIMIT))) / BIN).cast("int").alias("bin")
     bins = scored.groupBy(bin_).agg(F.count_if("accepted").alias("good"), F.count_if(~F.col("accepted")).alias("bad"))
-    return UrlModel(tables, best_cut(bins.orderBy("bin").collect(), BIN, LIMIT))
+    return UrlModel(counts, best_cut(bins.orderBy("bin").collect(), BIN, LIMIT))
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url") -> DataFrame:
@@ -157,7 +165,7 @@ def judge(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url"
     """
     (found,) = fresh(pages, "found")
     ruled = parts(pages, url).withColumn(found, rule_of(F.col("host"), F.col("path"), rules))
-    scored = with_score(ruled, model.tables, url)
+    scored = with_score(ruled, model.counts, url)
     accepted = quoted(url).isNotNull() & (F.col("score") >= model.threshold)
     verdict = F.coalesce(quoted(found)["verdict"], F.when(accepted, "allow").otherwise("block"))
     return scored.withColumns({"rule": quoted(found)["rule"], "verdict": verdict}).drop(found)
