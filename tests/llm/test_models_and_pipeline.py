@@ -102,6 +102,39 @@ def test_predictive_probabilities_sum_to_one():
     assert abs(chance.sum() + rest - 1) < 1e-12
 
 
+def test_stirling_numbers_and_draws():
+    for d in pitman_yor.DISCOUNTS:
+        exact = np.full((601, 601), -np.inf)
+        exact[1, 1] = 0
+        for c in range(1, 600):
+            t = np.arange(1, c + 2)
+            stay = np.log(np.maximum(c - t * d, 1e-300)) + exact[c, 1 : c + 2]
+            exact[c + 1, 1 : c + 2] = np.logaddexp(np.where(t <= c, stay, -np.inf), exact[c, : c + 1])
+        for c in (40, 300, 600):
+            t = np.arange(1, c + 1)
+            if c > pitman_yor.EXACT:
+                assert np.abs(pitman_yor.STIRLING[d](np.array([[c]]), t[None, :])[0] - exact[c, 1 : c + 1]).max() < 0.1
+            for opening in (0.2, 9.0, 120.0):
+                w = exact[c, 1 : c + 1] + t * np.log(opening)
+                weight = np.exp(w - w.max())
+                mean = (weight * t).sum() / weight.sum()
+                spread = np.sqrt((weight * t * t).sum() / weight.sum() - mean**2)
+                drawn = pitman_yor.draw_tables(np.random.default_rng(3), d, np.full(2000, c), np.full(2000, 1e12), None, np.full(2000, 1e12 * d / opening))
+                assert abs(drawn.mean() - mean) < 5 * spread / np.sqrt(2000) + 0.01 * mean
+
+
+def test_hot_dishes_leave_one_table():
+    """All customers of a dish are seated anew at once, so 13 sweeps are enough however many they are."""
+    rise, over = np.full(300, 1e12), np.full(300, 1e12 * 0.8 / 47)
+    for c in (1_000, 10_000, 1_000_000):
+        assert 54 < pitman_yor.draw_tables(np.random.default_rng(5), 0.8, np.full(300, c), rise, None, over).mean() < 66
+    customers = np.array([1_000, 10_000, 1_000_000])
+    s = pitman_yor.Sampler(np.arange(3), np.zeros(3, int), customers, 3, np.ones(1), 1 / 4, 5)
+    for _ in range(13):
+        s.sweep()
+    assert s.leaf.tables().min() >= 10
+
+
 def test_pipeline_keeps_one_of_each_group_and_only_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs

@@ -8,9 +8,9 @@ opens a table, which sends a customer to the root.
 
 Words are compared by 64-bit hashes and dealt to partitions by them. All seats of a word, in
 every restaurant, are then in one partition, and a word that a third of all tokens are is still
-one entry per context. Gibbs sampling runs in each partition: customers get up and sit down
-again given everyone else; only the number of tables of a restaurant spans partitions, and each
-scales its own tables up by its share of the customers. After BURN_IN sweeps SAMPLES seatings
+one entry per context. Gibbs sampling runs in each partition: who sits where is summed out, and
+each dish draws its number of tables given everyone else; only the number of tables of a
+restaurant spans partitions, and each scales its own tables up by its share of the customers. After BURN_IN sweeps SAMPLES seatings
 are kept. Predictive probabilities use the true totals of each seating and are averaged.
 
 Text is read once. Blocks of documents become arrays of word numbers, written to the shared
@@ -127,49 +127,158 @@ def _contexts_of(row: dict, vocabulary: np.ndarray, token: np.ndarray, own: np.n
 # ---- seats -----------------------------------------------------------------------------------
 
 
+EXACT = 256  # up to so many customers, Stirling numbers come from their recurrence
+NEAR, TERMS = 1.5, 60
+POINTS = 65  # numbers of tables that are weighed for a dish with more customers
+GROUPS = 4  # dishes of a group are drawn at once, each given the rest as the groups before have left it
+
+
+def log_rise(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logarithm of a (a + 1) .. (a + n - 1) for a > 0 and n >= 0, whole or not, without the loss of taking large logarithms apart."""
+    a, n = np.broadcast_arrays(np.asarray(a, float), np.asarray(n, float))
+    low = np.zeros(a.shape)
+    small = a < 8
+    if small.any():
+        x, y = a[small], a[small] + n[small]
+        for k in range(8):
+            low[small] += np.log((x + k) / (y + k))
+        a = np.where(small, a + 8, a)
+    end = a + n
+    series = lambda x: (1 / 12 - (1 / 360 - 1 / (1260 * x * x)) / (x * x)) / x
+    return low + (a - 0.5) * np.log1p(n / a) + n * (np.log(end) - 1) + series(end) - series(a)
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    return log_rise(1.0, n)
+
+
+class Stirling:
+    """Logarithms of generalised Stirling numbers S(c, t): the weight of all ways to seat c customers at t tables.
+
+    They are exact up to EXACT customers. Beyond, few tables (up to NEAR * c^d) have the
+    alternating sum of falling powers, which ends early there. For more, S(c, t) is c! / (t! d^t)
+    times the chance that t independent Sibuya(d) numbers add up to c, by its saddlepoint.
+    """
+
+    def __init__(self, discount: float):
+        self.d = d = discount
+        self.exact = np.full((EXACT + 1, EXACT + 1), -np.inf)
+        self.exact[1, 1] = 0.0
+        for c in range(1, EXACT):
+            t = np.arange(1, c + 2)
+            stay = np.log(np.maximum(c - t * d, 1e-300)) + self.exact[c, 1 : c + 2]
+            self.exact[c + 1, 1 : c + 2] = np.logaddexp(np.where(t <= c, stay, -np.inf), self.exact[c, : c + 1])
+        # By y = log(1 - z): mean of a number tilted by z, and what the saddlepoint needs there.
+        y = -np.geomspace(1e-9, 60.0, 6000)
+        z, rest = -np.expm1(y), np.exp(y)
+        seen = -np.expm1(d * y)  # 1 - (1 - z)^d
+        # Factorial moments, to be divided by seen.
+        f1 = d * z * rest ** (d - 1)
+        f2 = d * (1 - d) * z**2 * rest ** (d - 2)
+        m1, m2 = f1 / seen, (f1 + f2) / seen
+        k2 = m2 - m1**2
+        sound = (m1 - 1 > 1e-6) & (k2 > 1e-6)
+        self.mean = np.log(m1[sound] - 1)
+        self.rate = (np.log(seen) - m1 * np.log(z))[sound]
+        self.spread = np.log(k2[sound])
+        j = np.arange(1, TERMS + 1)
+        self.signs = (-1.0) ** (j + 1) * np.sin(np.pi * j * d) / np.pi
+
+    def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """For a column of c over EXACT, and rows of t from 1 to c."""
+        d, c, t = self.d, np.asarray(c, float), np.asarray(t, float)
+        at = np.log(np.maximum(c / t - 1, 1e-12))
+        sums = t * np.interp(at, self.mean, self.rate) - 0.5 * (np.log(2 * np.pi * t) + np.interp(at, self.mean, self.spread))
+        out = log_factorial(c) + np.where(t == c, t * np.log(d), sums)
+        near = t <= NEAR * c**d
+        row, column = np.nonzero(near)
+        if len(row):
+            j = np.arange(1, TERMS + 1)
+            # Each term from the one before: C(t, j), then the two gamma functions.
+            steps = np.exp(log_rise(1 + (j - 1) * d, d) - log_rise(c - j * d, d)) / j
+            few, product, total = t[row, column], np.ones(len(row)), np.zeros(len(row))
+            for k in range(TERMS):
+                product *= np.maximum(few - k, 0) * steps[row, k]
+                total += product * self.signs[k]
+            out[row, column] = log_rise(1.0, c[row, 0] - 1) + np.log(np.maximum(total, 1e-300))
+        return out - log_factorial(t) - t * np.log(d)
+
+
+STIRLING = {d: Stirling(d) for d in DISCOUNTS}
+
+
+def draw_tables(random, discount: float, customers: np.ndarray, rise: np.ndarray, come: np.ndarray | None, over: np.ndarray) -> np.ndarray:
+    """A number of tables for each dish, from its conditional: S(c, t) times the product, over i < t, of
+    discount * (rise + i) * (come + i) / (over + i), or discount * (rise + i) / over if nothing comes."""
+    out, number = np.ones(len(customers), np.int64), STIRLING[discount]
+    for c in range(2, EXACT + 1):
+        for at in np.array_split(rows := np.flatnonzero(customers == c), 1 + len(rows) * c // (1 << 21)):
+            if len(at):
+                i = np.arange(c)
+                more = np.log(discount * (rise[at, None] + i) * ((come[at, None] + i) / (over[at, None] + i) if come is not None else 1 / over[at, None]))
+                out[at] = 1 + _pick(random, number.exact[c, 1 : c + 1] + np.cumsum(more, axis=1))
+    many = np.flatnonzero(customers > EXACT)
+    for at in np.array_split(many, 1 + len(many) // (1 << 12)):
+        if len(at):
+            c, a, o = customers[at, None].astype(float), rise[at, None], over[at, None]
+
+            def weigh(t, c=c, a=a, o=o, at=at):
+                sent = log_rise(come[at, None], t) - log_rise(o, t) if come is not None else -t * np.log(o)
+                return number(c, t) + t * np.log(discount) + log_rise(a, t) + sent
+
+            # All weight lies about one mode: narrow the points down to where it is, then draw among them.
+            low, high = np.ones_like(c), c.copy()
+            while True:
+                step = np.maximum((high - low) / (POINTS - 1), 1.0)
+                t = np.minimum(np.floor(low + step * np.arange(POINTS)), high)
+                weight = weigh(t)
+                weight[:, 1:][t[:, 1:] == t[:, :-1]] = -np.inf
+                heavy = weight > weight.max(axis=1, keepdims=True) - 25
+                first, last = heavy.argmax(axis=1), POINTS - 1 - heavy[:, ::-1].argmax(axis=1)
+                line = np.arange(len(at))
+                left, right = t[line, np.maximum(first - 1, 0)][:, None], t[line, np.minimum(last + 1, POINTS - 1)][:, None]
+                if np.all((right - left >= 0.5 * (high - low)) | (step <= 1)):
+                    break
+                low, high = left, right
+            picked = _pick(random, weight)
+            least = t[line, picked]
+            most = np.where(picked + 1 < POINTS, t[line, np.minimum(picked + 1, POINTS - 1)], least + 1)
+            width = np.maximum(most - least, 1)
+            # A point stands for the numbers around it.
+            drawn = np.floor(least + (random.random(len(at)) - 0.5) * (width - 1) + 0.5)
+            out[at] = np.clip(drawn, 1, customers[at]).astype(np.int64)
+    return out
+
+
+def _pick(random, weight: np.ndarray) -> np.ndarray:
+    """A column for each row, by the logarithms of its weights."""
+    total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+    return (total < random.random(len(weight))[:, None] * total[:, -1:]).sum(axis=1)
+
+
 class Seats:
-    """Tables of many dishes in flat arrays. A dish is a word in a restaurant; its customers are exchangeable."""
+    """Numbers of tables of many dishes. A dish is a word in a restaurant; who sits where is summed out."""
 
     def __init__(self, customers: np.ndarray):
         """One table for each dish that has customers."""
         self.customers = customers.astype(np.int64)
-        self.dish = np.flatnonzero(customers > 0)
-        self.size = self.customers[self.dish].copy()
+        self.count = (self.customers > 0).astype(np.int64)
 
     def tables(self) -> np.ndarray:
-        return np.bincount(self.dish, minlength=len(self.customers))
-
-    def lift(self, dishes: np.ndarray, chance: np.ndarray) -> np.ndarray:
-        """One customer of each dish (sorted, different ones) leaves. Returns which tables closed by it."""
-        first = np.cumsum(self.customers) - self.customers
-        at = first[dishes] + np.minimum((chance * self.customers[dishes]).astype(np.int64), self.customers[dishes] - 1)
-        table = np.searchsorted(np.cumsum(self.size), at, side="right")
-        self.size[table] -= 1
-        self.customers[dishes] -= 1
-        closed = self.size[table] == 0
-        if closed.any():
-            stay = np.ones(len(self.size), bool)
-            stay[table[closed]] = False
-            self.dish, self.size = self.dish[stay], self.size[stay]
-        return closed
-
-    def seat(self, dishes: np.ndarray, opening: np.ndarray, discount: float, chance: np.ndarray) -> np.ndarray:
-        """One customer comes to each dish. A new table has weight `opening`, others their size less the discount."""
-        weight = np.cumsum(self.size - discount)
-        ends = np.searchsorted(self.dish, dishes, side="right")
-        begins = np.searchsorted(self.dish, dishes, side="left")
-        padded = np.append(0.0, weight)
-        below, seated = padded[begins], padded[ends] - padded[begins]
-        draw = chance * (seated + opening)
-        opens = (draw >= seated) | (begins == ends)
-        table = np.searchsorted(weight, below[~opens] + draw[~opens], side="right")
-        table = np.clip(table, begins[~opens], ends[~opens] - 1)
-        self.size[table] += 1
-        self.customers[dishes] += 1
-        if opens.any():
-            self.dish = np.insert(self.dish, ends[opens], dishes[opens])
-            self.size = np.insert(self.size, ends[opens], 1)
-        return opens
+        return self.count
+
+    @property
+    def dish(self) -> np.ndarray:
+        """The dish of each table."""
+        return np.repeat(np.arange(len(self.count)), self.count)
+
+    @property
+    def size(self) -> np.ndarray:
+        """One seating of those that the numbers of tables stand for: all but one customer each at the first."""
+        size = np.ones(int(self.count.sum()), np.int64)
+        some = np.flatnonzero(self.count)
+        size[(np.cumsum(self.count) - self.count)[some]] += (self.customers - self.count)[some]
+        return size
 
 
 class Sampler:
@@ -191,37 +300,31 @@ class Sampler:
         got = np.maximum(self.root.customers[words] - d * tables[words], 0)
         return (got + (s + d * all_tables) * self.base) / (s + total)
 
-    def _move_root(self, words: np.ndarray, coming: bool) -> None:
-        """Customers come to or leave the root, one per word and round."""
-        d, s = DISCOUNTS[0], STRENGTHS[0]
-        left = np.bincount(words, minlength=len(self.root.customers))
-        while (dishes := np.flatnonzero(left > 0)).size:
-            draw = self.random.random(len(dishes))
-            if coming:
-                opening = np.full(len(dishes), (s + d * len(self.root.dish) * self.root_scale) * self.base)
-                self.root.seat(dishes, opening, d, draw)
-            else:
-                self.root.lift(dishes, draw)
-            left[dishes] -= 1
-
     def sweep(self) -> None:
-        """Of each dish with two customers or more, about log2 of their number get up and sit down again; then at the root."""
-        round_, d, s = 0, DISCOUNTS[1], STRENGTHS[1]
-        while (dishes := np.flatnonzero(self.leaf.customers >= 2 << round_)).size:
-            words = self.word[dishes]
-            closed = self.leaf.lift(dishes, self.random.random(len(dishes)))
-            self._move_root(words[closed], coming=False)
-            opening = (s + d * self._open_tables()[self.context[dishes]]) * self.root_chance(
-                words, self.root.tables(), float(self.root.customers.sum()) * self.root_scale, len(self.root.dish) * self.root_scale
-            )
-            opens = self.leaf.seat(dishes, opening, d, self.random.random(len(dishes)))
-            self._move_root(words[opens], coming=True)
-            round_ += 1
+        """All customers of every dish are seated anew, as far as it matters: the dish's number of tables is
+        drawn from its conditional given all other dishes; then those of the root."""
+        (d0, d), (s0, s) = DISCOUNTS, STRENGTHS
+        more = np.flatnonzero(self.leaf.customers >= 2)
+        dealt = self.random.integers(GROUPS, size=len(more))
+        for group in range(GROUPS):
+            at = more[dealt == group]
+            if not len(at):
+                continue
+            words, own = self.word[at], self.leaf.count[at]
+            rise = s / d + np.maximum(self._open_tables()[self.context[at]] - own, 0)
+            total, roots = float(self.root.customers.sum()) * self.root_scale, float(self.root.count.sum()) * self.root_scale
+            others = np.maximum(self.root.customers[words] - own - d0 * self.root.count[words], 0)
+            come = others + (s0 + d0 * roots) * self.base
+            self.leaf.count[at] = draw_tables(self.random, d, self.leaf.customers[at], rise, come, s0 + np.maximum(total - own, 0))
+            self.root.customers = np.rint(np.bincount(self.word, self.leaf.count, minlength=len(self.root.customers))).astype(np.int64)
+            self.root.count = np.minimum(self.root.count, self.root.customers)
         dishes = np.flatnonzero(self.root.customers >= 2)
-        if len(dishes):
-            self.root.lift(dishes, self.random.random(len(dishes)))
-            opening = np.full(len(dishes), (STRENGTHS[0] + DISCOUNTS[0] * len(self.root.dish) * self.root_scale) * self.base)
-            self.root.seat(dishes, opening, DISCOUNTS[0], self.random.random(len(dishes)))
+        for group in range(GROUPS):
+            at = dishes[group::GROUPS]
+            if len(at):
+                own = self.root.count[at]
+                rise = s0 / d0 + np.maximum(float(self.root.count.sum()) * self.root_scale - own, 0)
+                self.root.count[at] = draw_tables(self.random, d0, self.root.customers[at], rise, None, np.full(len(at), 1 / self.base))
 
 
 # ---- partitions ----------------------------------------------------------------------------------
@@ -294,10 +397,10 @@ def _sample(asked: DataFrame, contexts: int, context_tokens: np.ndarray, words:
         for k in range(SAMPLES):
             for _ in range(BETWEEN if k else 1):
                 sampler.sweep()
-            tables = sampler.leaf.tables()
+            tables = sampler.leaf.tables().copy()
             root += [sampler.root.customers.copy(), sampler.root.tables()]
             leaf.append(tables)
-            seats.append([int(sampler.root.customers.sum()), len(sampler.root.dish), *np.bincount(context, tables, minlength=contexts).astype(int).tolist()])
+            seats.append([int(sampler.root.customers.sum()), int(sampler.root.count.sum()), *np.bincount(context, tables, minlength=contexts).astype(int).tolist()])
         root, leaf = np.array(root, np.int32), np.array([customers, *leaf], np.int32)
         entries = np.cumsum([0] + [len(k) for k in keys])
         out = {name: [] for name in ("part", "block", "known", "root", "leaf", "seats")}
