@@ -135,6 +135,23 @@ def test_hot_dishes_leave_one_table():
     assert s.leaf.tables().min() >= 10
 
 
+def test_every_word_is_a_context(spark, monkeypatch):
+    """What follows a rare word is learnt, and counts of customers and tables meet over partitions."""
+    monkeypatch.setattr(pitman_yor, "PART_TOKENS", 9_000)
+    random.seed(6)
+    pairs = [(f"a{i}", f"b{i}") for i in range(3000)]
+
+    def text():
+        return " ".join(w for pair in random.sample(pairs, 60) for w in pair)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string")
+    found = pitman_yor.score(docs, F.col("doc_id") % 8 == 1).collect()
+    held = [r for r in found if r["held_out"]]
+    # Half of the words follow from the one before, the other half are one of 3,000.
+    per_token = -sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert len(found) == 400 and per_token < 0.75 * -sum(r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+
+
 def test_pipeline_keeps_one_of_each_group_and_only_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs

@@ -1,21 +1,22 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
 Restaurants form a tree. The root serves words to everyone, with a uniform base of V + 1 words.
-Each context has a restaurant below it: one for the start of a text, one for each word that
-makes up at least MIN_SHARE of all tokens (so 1 / MIN_SHARE at most), and one that all other
-words share. A customer at a context's restaurant sits down with those who eat the same word or
+Each context has a restaurant below it: the start of a text, and every word that learnt texts
+have, however rare. The start counts as the place after an end. A customer at a context's restaurant sits down with those who eat the same word or
 opens a table, which sends a customer to the root.
 
 Words are compared by 64-bit hashes and dealt to partitions by them. All seats of a word, in
 every restaurant, are then in one partition, and a word that a third of all tokens are is still
 one entry per context. Gibbs sampling runs in each partition: who sits where is summed out, and
 each dish draws its number of tables given everyone else; only the number of tables of a
-restaurant spans partitions, and each scales its own tables up by its share of the customers. After BURN_IN sweeps SAMPLES seatings
+restaurant spans partitions, and each estimates those elsewhere: by its own tables a customer,
+and where it has few customers of a restaurant by those of restaurants of about the same size. After BURN_IN sweeps SAMPLES seatings
 are kept. Predictive probabilities use the true totals of each seating and are averaged.
 
 Text is read once. Blocks of documents become arrays of word numbers, written to the shared
 folder. What goes to the partitions and back is, per block, one number list per distinct word
-and context: as much as the corpus has, and never a row per token.
+and context: as much as the corpus has, and never a row per token. Customers and tables of
+contexts travel the same way, as lists for the words of a block; the driver has none of them.
 """
 
 import zlib
@@ -31,13 +32,12 @@ from pyspark.sql import functions as F
 from threatloom.llm.frames import by_bytes, kept_in_table, quoted
 from threatloom.llm.words import word_hashes, words_of, xxh64
 
-MIN_SHARE = 1e-3
 DISCOUNTS = (0.6, 0.8)  # root, contexts
 STRENGTHS = (20.0, 5.0)
 BURN_IN, SAMPLES, BETWEEN = 8, 3, 2
 BLOCK_BYTES = 32 << 20
-PART_WORDS = 1 << 20
-BEGIN, OTHER = 0, 1  # contexts; words of their own follow
+PART_WORDS, PART_TOKENS = 1 << 20, 1 << 21
+FEW = 50.0  # customers that what restaurants of the same size do counts for
 #: The end of a text as a token: no word hashes a newline.
 END = xxh64(np.array([10], np.uint8), np.array([0]), np.array([1]))[0]
 
@@ -112,16 +112,19 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block_row(number, ids, held, sizes, hashes)
 
 
-def _contexts_of(row: dict, vocabulary: np.ndarray, token: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """The context number of each token: its text's start, the word before it, or one of the others."""
-    place = np.searchsorted(own, vocabulary)
-    place = np.minimum(place, max(len(own) - 1, 0))
-    number = np.where(own[place] == vocabulary, place + 2, OTHER) if len(own) else np.full(len(vocabulary), OTHER)
+def _pairs_of(row: dict, vocabulary: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Word and context of each token in one number: place of the word times words, and place of the word before it."""
+    sizes = _open(row["sizes"], np.int32)
     context = np.empty(len(token), np.int64)
-    context[1:] = number[token[:-1]]
-    starts = np.cumsum(_open(row["sizes"], np.int32)) - _open(row["sizes"], np.int32)
-    context[starts] = BEGIN
-    return context
+    context[1:] = token[:-1]
+    context[np.cumsum(sizes) - sizes] = np.searchsorted(vocabulary, END)
+    return token * np.int64(len(vocabulary)) + context
+
+
+def _edges(vocabulary: np.ndarray, bits: int) -> np.ndarray:
+    """Where the words of each partition begin and end; partitions are ranges of hashes."""
+    part = (vocabulary >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(vocabulary), np.int64)
+    return np.searchsorted(part, np.arange((1 << bits) + 1))
 
 
 # ---- seats -----------------------------------------------------------------------------------
@@ -290,10 +293,14 @@ class Sampler:
         self.leaf = Seats(customers)
         self.root = Seats(np.bincount(word[customers > 0], minlength=words))
         self.root_scale = float(scale.mean()) if len(scale) else 1.0
+        self.here = np.bincount(context, customers, minlength=len(scale))
 
     def _open_tables(self) -> np.ndarray:
-        """Tables of each context, scaled up to the corpus."""
-        return np.bincount(self.context, self.leaf.tables(), minlength=len(self.scale)) * self.scale
+        """Tables of each context in the corpus: its own here, and an estimate of those elsewhere."""
+        own, total = np.bincount(self.context, self.leaf.tables(), minlength=len(self.scale)), self.here * self.scale
+        like = np.log2(np.maximum(total, 1)).astype(np.int64)
+        usual = np.bincount(like, own) / np.maximum(np.bincount(like, self.here), 1)
+        return own + np.maximum(total - self.here, 0) * (own + FEW * usual[like]) / (self.here + FEW)
 
     def root_chance(self, words: np.ndarray, tables: np.ndarray, total: float, all_tables: float) -> np.ndarray:
         d, s = DISCOUNTS[0], STRENGTHS[0]
@@ -329,120 +336,193 @@ class Sampler:
 
 # ---- partitions ----------------------------------------------------------------------------------
 
-_ASK = "part int, block long, words binary, lengths binary, contexts binary, counts binary, totals binary"
-_ANSWER = "part int, block long, known binary, root binary, leaf binary, seats array<array<long>>"
+_KNOWN = "part int, block long, words binary, known binary, learnt long"
+_ASK = "part int, block long, words binary, lengths binary, contexts binary, waiting binary, places binary, counts binary"
+_ANSWER = "part int, block long, root binary, leaf binary, words binary, tables binary, seats array<long>"
+_TABLES = "part int, block long, tables binary"
 
 
-def _ask(blocks: DataFrame, own: np.ndarray, bits: int) -> DataFrame:
-    """Per block and partition: its words, the contexts they stand in, and how often in learnt texts."""
-    contexts = len(own) + 2
+def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.table({name: pa.array(list(v), kind) for v, (name, kind) in zip(columns, kinds.items(), strict=True)})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _known(blocks: DataFrame, bits: int) -> DataFrame:
+    """Per block and partition: its words, and how often learnt texts of the corpus have them. `learnt` counts the partition's learnt words, on one row."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                vocabulary, token = _open_sorted(row["vocabulary"]), _tokens_of(row)
-                context = _contexts_of(row, vocabulary, token, own)
-                learnt = np.repeat(~np.array(row["held"], bool), _open(row["sizes"], np.int32))
-                pair, place = np.unique(token * contexts + context, return_inverse=True)
-                count = np.bincount(place[learnt], minlength=len(pair))
-                word = pair // contexts
-                totals = _open(row["counts"], np.int32)
-                edges = np.searchsorted(vocabulary >> np.uint64(64 - bits) if bits else np.zeros(len(vocabulary)), np.arange((1 << bits) + 1))
-                edges[-1] = len(vocabulary)
+                words, counts = _open_sorted(row["vocabulary"]), _open(row["counts"], np.int32)
+                edges = _edges(words, bits)
                 for part in np.flatnonzero(np.diff(edges)):
                     a, b = edges[part], edges[part + 1]
-                    x, y = np.searchsorted(word, [a, b])
-                    values = [
-                        _packed_sorted(vocabulary[a:b]),
-                        _packed(np.bincount(word[x:y] - a, minlength=b - a).astype(np.uint16)),
-                        _packed((pair[x:y] % contexts).astype(np.uint16)),
-                        _packed(count[x:y].astype(np.int32)),
-                        _packed(totals[a:b]),
-                    ]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(part)], pa.int32()), pa.array([row["block"]]), *[pa.array([v], pa.binary()) for v in values]],
-                        ["part", "block", "words", "lengths", "contexts", "counts", "totals"],
+                        [pa.array([int(part)], pa.int32()), pa.array([row["block"]]), pa.array([_packed_sorted(words[a:b])], pa.binary()), pa.array([_packed(counts[a:b])], pa.binary())],
+                        ["part", "block", "words", "counts"],
                     )
 
-    return blocks.select("block", "held", "sizes", "tokens", "vocabulary", "counts").mapInArrow(run, _ASK)
-
-
-def _sample(asked: DataFrame, contexts: int, context_tokens: np.ndarray, words: int, tokens: int, seed: int) -> DataFrame:
+    def total(group: pa.Table) -> pa.Table:
+        rows = sorted(group.to_pylist(), key=lambda r: r["block"])
+        hashes = [_open_sorted(r["words"]) for r in rows]
+        words, where = np.unique(np.concatenate(hashes), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([_open(r["counts"], np.int32) for r in rows])).astype(np.int64)
+        ends = np.cumsum([len(h) for h in hashes])
+        learnt = int((counts > 0).sum())
+        out = [(r["part"], r["block"], r["words"], _packed(counts[where[e - len(h) : e]]), 0 if i else learnt) for i, (r, h, e) in enumerate(zip(rows, hashes, ends, strict=True))]
+        return _table(out, {"part": pa.int32(), "block": pa.int64(), "words": pa.binary(), "known": pa.binary(), "learnt": pa.int64()})
+
+    sent = blocks.select("block", "vocabulary", "counts").mapInArrow(split, "part int, block long, words binary, counts binary")
+    return sent.groupBy("part").applyInArrow(total, _KNOWN)
+
+
+def _ask(blocks: DataFrame, known: DataFrame, bits: int) -> DataFrame:
+    """Per block and partition: its words, the contexts they stand in with all customers these have, and how often in learnt texts."""
+
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        out = []
+        for row in block.to_pylist():
+            vocabulary, token = _open_sorted(row["vocabulary"]), _tokens_of(row)
+            waiting = np.concatenate([_open(r["known"], np.int64) for r in sorted(told.to_pylist(), key=lambda r: r["part"])])
+            learnt = np.repeat(~np.array(row["held"], bool), _open(row["sizes"], np.int32))
+            pair, place = np.unique(_pairs_of(row, vocabulary, token), return_inverse=True)
+            count = np.bincount(place[learnt], minlength=len(pair))
+            del token, place, learnt
+            word, context = pair // len(vocabulary), pair % len(vocabulary)
+            edges = _edges(vocabulary, bits)
+            for part in np.flatnonzero(np.diff(edges)):
+                a, b = edges[part], edges[part + 1]
+                x, y = np.searchsorted(word, [a, b])
+                own, at = np.unique(context[x:y], return_inverse=True)
+                values = [
+                    _packed_sorted(vocabulary[a:b]),
+                    _packed(np.bincount(word[x:y] - a, minlength=b - a).astype(np.int32)),
+                    _packed_sorted(vocabulary[own]),
+                    _packed(waiting[own]),
+                    _packed(at.astype(np.int32)),
+                    _packed(count[x:y].astype(np.int32)),
+                ]
+                out.append((int(part), row["block"], *values))
+        kinds = {"part": pa.int32(), "block": pa.int64()} | dict.fromkeys(("words", "lengths", "contexts", "waiting", "places", "counts"), pa.binary())
+        return _table(out, kinds)
+
+    left = blocks.select("block", "held", "sizes", "tokens", "vocabulary")
+    return left.groupBy("block").cogroup(known.select("block", "part", "known").groupBy("block")).applyInArrow(run, _ASK)
+
+
+def _sample(asked: DataFrame, words: int, tokens: int, bits: int, seed: int) -> DataFrame:
     """Seat the customers of each partition, and tell each block what it asked for.
 
-    An answer has, aligned with the question: `known` count of each word, its root customers and
-    tables per sample (`root`), and of each (word, context) customers and tables per sample
-    (`leaf`). `seats` holds the partition's totals per sample, on its first row only.
+    An answer to a block has, aligned with the question: root customers and tables of each word
+    per sample (`root`), and of each (word, context) customers and tables per sample (`leaf`).
+    An answer without a block has tables per sample of some contexts (`words`, `tables`) for the
+    partition that these belong to. `seats` holds the root's customers and tables per sample, on
+    one row.
     """
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-        hashes = [_open_sorted(r["words"]) for r in rows]
-        vocabulary, where = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(where, np.concatenate([_open(r["totals"], np.int32) for r in rows])).astype(np.int64)
-        starts = np.cumsum([0] + [len(h) for h in hashes])
+
+        def numbered(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            lists = [_open_sorted(r[name]) for r in rows]
+            every, where = np.unique(np.concatenate(lists), return_inverse=True)
+            return every, where, np.cumsum([0] + [len(v) for v in lists])
+
+        vocabulary, where, starts = numbered("words")
+        contexts, sits, firsts = numbered("contexts")
+        waiting = np.zeros(len(contexts), np.int64)
+        waiting[sits] = np.concatenate([_open(r["waiting"], np.int64) for r in rows])
         keys = []
-        for r, a, b in zip(rows, starts[:-1], starts[1:], strict=True):
-            keys.append(np.repeat(where[a:b], _open(r["lengths"], np.uint16)) * contexts + _open(r["contexts"], np.uint16))
+        for r, a, b, c, d in zip(rows, starts[:-1], starts[1:], firsts[:-1], firsts[1:], strict=True):
+            keys.append(np.repeat(where[a:b], _open(r["lengths"], np.int32)) * np.int64(len(contexts)) + sits[c:d][_open(r["places"], np.int32)])
+        entries = np.cumsum([0] + [len(k) for k in keys])
         entry, at = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
         customers = np.rint(np.bincount(at, np.concatenate([_open(r["counts"], np.int32) for r in rows]))).astype(np.int64)
-        word, context = entry // contexts, entry % contexts
-        here = np.bincount(context, customers, minlength=contexts)
-        scale = np.where(here > 0, context_tokens / np.maximum(here, 1), 1.0)
+        word, context = entry // len(contexts), entry % len(contexts)
+        here = np.bincount(context, customers, minlength=len(contexts))
+        scale = np.where(here > 0, waiting / np.maximum(here, 1), 1.0)
         sampler = Sampler(word, context, customers, len(vocabulary), scale, 1 / (words + 1), [seed, rows[0]["part"]])
         sampler.root_scale = tokens / max(1, int(customers.sum()))
         for _ in range(BURN_IN):
             sampler.sweep()
-        root, leaf, seats = [], [], []
+        root, leaf, per_context, seats = [], [customers], [], []
         for k in range(SAMPLES):
             for _ in range(BETWEEN if k else 1):
                 sampler.sweep()
             tables = sampler.leaf.tables().copy()
-            root += [sampler.root.customers.copy(), sampler.root.tables()]
+            root += [sampler.root.customers.copy(), sampler.root.tables().copy()]
             leaf.append(tables)
-            seats.append([int(sampler.root.customers.sum()), int(sampler.root.count.sum()), *np.bincount(context, tables, minlength=contexts).astype(int).tolist()])
-        root, leaf = np.array(root, np.int32), np.array([customers, *leaf], np.int32)
-        entries = np.cumsum([0] + [len(k) for k in keys])
-        out = {name: [] for name in ("part", "block", "known", "root", "leaf", "seats")}
+            per_context.append(np.bincount(context, tables, minlength=len(contexts)))
+            seats += [int(sampler.root.customers.sum()), int(sampler.root.tables().sum())]
+        root, leaf, per_context = np.array(root, np.int32), np.array(leaf, np.int32), np.array(per_context).astype(np.int32)
+        out = []
         for i, r in enumerate(rows):
             w, e = where[starts[i] : starts[i + 1]], at[entries[i] : entries[i + 1]]
-            for name, value in zip(out, (r["part"], r["block"], _packed(total[w]), _packed(root[:, w]), _packed(leaf[:, e]), [] if i else seats), strict=True):
-                out[name].append(value)
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64())))
-        return pa.table({name: pa.array(v, kind) for (name, v), kind in zip(out.items(), kinds, strict=True)})
+            out.append((r["part"], r["block"], _packed(root[:, w]), _packed(leaf[:, e]), None, None, [] if i else seats))
+        edges = _edges(contexts, bits)
+        for part in np.flatnonzero(np.diff(edges)):
+            a, b = edges[part], edges[part + 1]
+            out.append((int(part), None, None, None, _packed_sorted(contexts[a:b]), _packed(per_context[:, a:b]), []))
+        kinds = {"part": pa.int32(), "block": pa.int64()} | dict.fromkeys(("root", "leaf", "words", "tables"), pa.binary()) | {"seats": pa.list_(pa.int64())}
+        return _table(out, kinds)
 
     return asked.groupBy("part").applyInArrow(run, _ANSWER)
 
 
+def _context_tables(answers: DataFrame, known: DataFrame) -> DataFrame:
+    """Per block and partition: tables per sample of the restaurants of its words, over the corpus."""
+
+    def run(spread: pa.Table, asked: pa.Table) -> pa.Table:
+        told = spread.to_pylist()
+        lists = [_open_sorted(r["words"]) for r in told]
+        words, where = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
+        tables, end = np.zeros((SAMPLES, len(words) + 1), np.int64), 0
+        for r, own in zip(told, lists, strict=True):
+            tables[:, where[end : end + len(own)]] += _open(r["tables"], np.int32).reshape(SAMPLES, -1)
+            end += len(own)
+        out = []
+        for r in asked.to_pylist():
+            hashes = _open_sorted(r["words"])
+            place = np.searchsorted(words, hashes)
+            found = np.append(words, np.uint64(0))[place] == hashes
+            out.append((r["part"], r["block"], _packed(tables[:, np.where(found & (place < len(words)), place, len(words))])))
+        return _table(out, {"part": pa.int32(), "block": pa.int64(), "tables": pa.binary()})
+
+    spread = answers.filter("block IS NULL").select("part", "words", "tables")
+    return spread.groupBy("part").cogroup(known.select("part", "block", "words").groupBy("part")).applyInArrow(run, _TABLES)
+
+
 # ---- scores --------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Totals:
-    """What spans partitions: tokens and words learnt, customers of each context, and per sample the root's and contexts' tables."""
+    """What spans partitions: tokens and words learnt, and per sample the root's customers and tables."""
 
     tokens: int
     words: int
-    customers: np.ndarray
-    seats: np.ndarray  # per sample: root customers, root tables, tables of each context
+    seats: list[int]
 
 
-def _score_block(row: dict, answers: list[dict], own: np.ndarray, totals: Totals) -> dict:
-    contexts = len(own) + 2
+def _score_block(row: dict, answers: list[dict], totals: Totals) -> dict:
     vocabulary, token = _open_sorted(row["vocabulary"]), _tokens_of(row)
-    context = _contexts_of(row, vocabulary, token, own)
-    pair, place = np.unique(token * contexts + context, return_inverse=True)
-    word, of = pair // contexts, pair % contexts
+    pair, place = np.unique(_pairs_of(row, vocabulary, token), return_inverse=True)
+    word, of = pair // len(vocabulary), pair % len(vocabulary)
     answers = sorted(answers, key=lambda r: r["part"])  # partitions are ranges of hashes, and so of the vocabulary
-    known = np.concatenate([_open(r["known"], np.int64) for r in answers])
-    root = np.concatenate([_open(r["root"], np.int32).reshape(2 * SAMPLES, -1) for r in answers], axis=1)
-    leaf = np.concatenate([_open(r["leaf"], np.int32).reshape(SAMPLES + 1, -1) for r in answers], axis=1)
+
+    def told(name: str, dtype, lines: int) -> np.ndarray:
+        return np.concatenate([_open(r[name], dtype).reshape(lines, -1) for r in answers if r[name] is not None], axis=1)
+
+    known = told("known", np.int64, 1)[0]
+    root, leaf, tables = told("root", np.int32, 2 * SAMPLES), told("leaf", np.int32, SAMPLES + 1), told("tables", np.int64, SAMPLES)
     (d0, d1), (s0, s1) = DISCOUNTS, STRENGTHS
     chance = np.zeros(len(pair))
     for k in range(SAMPLES):
-        all_, tables, per_context = totals.seats[k][0], totals.seats[k][1], totals.seats[k][2:]
-        base = (root[2 * k] - d0 * root[2 * k + 1] + (s0 + d0 * tables) / (totals.words + 1)) / (s0 + all_)
-        chance += (leaf[0] - d1 * leaf[k + 1] + (s1 + d1 * per_context[of]) * base[word]) / (s1 + totals.customers[of])
+        all_, all_tables = totals.seats[2 * k : 2 * k + 2]
+        base = (root[2 * k] - d0 * root[2 * k + 1] + (s0 + d0 * all_tables) / (totals.words + 1)) / (s0 + all_)
+        # A word that is a context has as many customers in its restaurant as learnt texts have of it.
+        chance += (leaf[0] - d1 * leaf[k + 1] + (s1 + d1 * tables[k][of]) * base[word]) / (s1 + known[of])
     sizes = _open(row["sizes"], np.int32)
     starts = np.cumsum(sizes) - sizes
     plain = np.log10((known + 1) / (totals.tokens + totals.words + 1))
@@ -460,7 +540,7 @@ def _score_block(row: dict, answers: list[dict], own: np.ndarray, totals: Totals
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", min_share: float = MIN_SHARE, seed: int = 0) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     The model learns from rows where `held_out` is false or null. Null and empty texts have one
@@ -468,82 +548,37 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     probability. Nothing to learn from leaves the uniform base. Null ids and repeated rows come
     out as they came in; an empty table gives no rows.
     """
-    if min_share < 1 / 60_000:
-        raise ValueError("contexts are numbered in 16 bits: min_share must be 1/60000 or more")
     narrow = docs.select(quoted(doc_id).cast("long").alias("id"), quoted(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = kept_in_table(narrow.mapInArrow(_blocks, _BLOCK), "py-blocks")
     tokens, entries = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    bits = max(0, int(np.ceil(np.log2(max(1, entries / PART_WORDS)))))
-    words, own = _vocabulary(blocks, bits, tokens, min_share)
-    asked = kept_in_table(_ask(blocks, own, bits), "py-asked")
-    customers = _context_tokens(asked, len(own) + 2)
-    answers = kept_in_table(_sample(asked, len(own) + 2, customers, words, tokens, seed), "py-answers")
-    seats = np.zeros((SAMPLES, len(own) + 4), dtype=np.int64)
-    told = answers.select(F.posexplode("seats").alias("sample", "row")).select("sample", F.posexplode("row").alias("place", "n"))
-    for sample, place, n in told.groupBy("sample", "place").agg(F.sum("n")).collect():
-        seats[sample, place] = n
-    totals = Totals(tokens, words, customers, seats)
+    bits = max(0, int(np.ceil(np.log2(max(1, entries / PART_WORDS, tokens / PART_TOKENS)))))
+    known = kept_in_table(_known(blocks, bits), "py-known")
+    words = known.agg(F.coalesce(F.sum("learnt"), F.lit(0))).first()[0]
+    answers = kept_in_table(_sample(_ask(blocks, known, bits), words, tokens, bits, seed), "py-answers")
+    seats = [0] * (2 * SAMPLES)
+    for place, n in answers.select(F.posexplode("seats").alias("place", "n")).groupBy("place").agg(F.sum("n")).collect():
+        seats[place] = n
+    totals = Totals(tokens, words, seats)
 
     def meet(block: pa.Table, answered: pa.Table) -> pa.Table:
         rows = block.to_pylist()
-        scored = [_score_block(row, answered.to_pylist(), own, totals) for row in rows]
+        scored = [_score_block(row, answered.to_pylist(), totals) for row in rows]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         arrays = [pa.chunked_array([pa.array(s[n], kind) for s in scored], kind) for n, kind in zip(names, kinds, strict=True)]
         return pa.table(arrays, names=list(names))
 
     left = blocks.select("block", "ids", "held", "sizes", "tokens", "vocabulary")
-    right = answers.select("block", "part", "known", "root", "leaf")
+    told = {"known": known, "root": answers.filter("block IS NOT NULL"), "tables": _context_tables(answers, known)}
+    none = F.lit(None).cast("binary")
+    right = None
+    for name, frame in told.items():
+        own = ("root", "leaf") if name == "root" else (name,)
+        one = frame.select("block", "part", *[(F.col(c) if c in own else none).alias(c) for c in ("known", "root", "leaf", "tables")])
+        right = one if right is None else right.unionByName(one)
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(meet, _SCORES)
 
 
-def _vocabulary(blocks: DataFrame, bits: int, tokens: int, min_share: float) -> tuple[int, np.ndarray]:
-    """Number of distinct learnt words, and hashes of those with at least min_share of all tokens, sorted."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, counts = _open_sorted(row["vocabulary"]), _open(row["counts"], np.int32)
-                words, counts = words[counts > 0], counts[counts > 0]
-                part = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
-                for p in np.unique(part):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(p)], pa.int32()), pa.array([_packed_sorted(words[part == p])], pa.binary()), pa.array([_packed(counts[part == p])], pa.binary())],
-                        ["part", "words", "counts"],
-                    )
-
-    least = max(1.0, min_share * tokens)
-
-    def total(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        words, where = np.unique(np.concatenate([_open_sorted(r["words"]) for r in rows]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([_open(r["counts"], np.int32) for r in rows]))
-        often = words[(counts >= least) & (words != END)]
-        return pa.table({"n": pa.array([len(words)], pa.int64()), "often": pa.array([often.view(np.int64).tolist()], pa.list_(pa.int64()))})
-
-    sent = blocks.select("vocabulary", "counts").mapInArrow(split, "part int, words binary, counts binary")
-    rows = sent.groupBy("part").applyInArrow(total, "n long, often array<long>").collect()
-    often = np.array(sorted(v % (1 << 64) for r in rows for v in r[1]), dtype=np.uint64)
-    return sum(r[0] for r in rows), often
-
-
-def _context_tokens(asked: DataFrame, contexts: int) -> np.ndarray:
-    """Customers of each context over the corpus."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(contexts, dtype=np.int64)
-        for batch in batches:
-            for row in batch.to_pylist():
-                total += np.bincount(_open(row["contexts"], np.uint16), _open(row["counts"], np.int32), minlength=contexts).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(contexts)), pa.array(total)], ["context", "n"])
-
-    out = np.zeros(contexts, dtype=np.int64)
-    summed = asked.select("contexts", "counts").mapInArrow(count, "context long, n long").groupBy("context").agg(F.sum("n"))
-    for context, n in summed.collect():
-        out[context] = n
-    return out
-
-
 def perplexity(scored: DataFrame) -> DataFrame:
     """One row: perplexity per token of held-out texts, and of learnt ones."""
     per = lambda cond: F.pow(F.lit(10.0), -F.sum(F.when(cond, F.col("score"))) / F.sum(F.when(cond, F.col("n_tokens"))))
