@@ -206,6 +206,12 @@ def test_pii(spark):
     assert pii.fit(docs.limit(0)).weights == tuple([0.0] * pii.FEATURES)
 
 
+def test_long_runs_are_candidates():
+    for kind, run in (("secret", "Ab3_" * 400), ("account", "4 0-9" * 40)):
+        found = pii.candidates(f"the key = {run} ends", [])
+        assert [(c.text, pii.ALL_KINDS[c.kind]) for c in found] == [(run, kind)]
+
+
 def test_label_model_finds_reliabilities():
     random.seed(11)
     rates, rows = [0.95, 0.9, 0.75, 0.6], Counter()

@@ -72,9 +72,9 @@ def base_spans(text: str) -> list[Span]:
 # ---- candidates, labelers, features -----------------------------------------------------
 
 _CANDIDATES = (
-    ("account", re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){8,33}(?![0-9A-Za-z])")),
+    ("account", re.compile(r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){8,}(?![0-9A-Za-z])")),
     ("number", re.compile(r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,6}(?![0-9A-Za-z])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*[0-9])[0-9A-Za-z_-]{20,512}(?![0-9A-Za-z_-])")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*[0-9])[0-9A-Za-z_-]{20,}(?![0-9A-Za-z_-])")),
     ("address", re.compile(r"(?<![\w.])[\w.]{1,64}(?: at |\(at\)|\[at\])[\w-]{1,63}(?: dot |\(dot\)|\[dot\]|\.)[\w-]{2,63}", re.ASCII)),
 )
 #: Cue words, each list in the order of the kinds they speak for.
