@@ -230,8 +230,7 @@ def alert_rules_stored(spark, sf_dir):
 
 def alert_rule_violations(spark, sf_dir):
     """One alert rule per event, a part of them unusable."""
-    k = F.col("rawEvent.requestSize").cast("int") - 64
-    k = (k / 41).cast("int")
+    k = testdata.kind(F.col("rawEvent.requestSize"))
     rules = testdata.raw_events(spark, sf_dir).select(
         event_id().alias("id"),
         F.when(k % 6 != 0, F.col("rawEvent.rule.category")).alias("category"),
@@ -383,7 +382,7 @@ def _rule_rows(spark, sf_dir):
 
     clients = events.filter("action <> 'DENY'").select("client_ip").distinct()
     current = rows(clients, F.concat(F.lit("Block "), F.col("client_ip")), F.lit("50"), F.lit(5), F.lit(True))
-    k = ((F.col("request_size") - 64) / 41).cast("int")
+    k = testdata.kind(F.col("request_size"))
     arrival = F.col("event_id").cast("bigint")
     changes = rows(
         events.filter("action = 'DENY'"), F.concat(F.lit("Event "), F.col("event_id")), k.cast("string"),
@@ -398,7 +397,7 @@ def rules_upsert(spark, sf_dir):
 
 def rules_delete(spark, sf_dir):
     current, _ = _rule_rows(spark, sf_dir)
-    gone = stored_events(spark, sf_dir).filter(F.col("request_size") == 64 + 7 * 41)
+    gone = stored_events(spark, sf_dir).filter(testdata.kind(F.col("request_size")) == 7)
     return rule_table.delete_rules(current, gone.select(F.concat(F.lit("block-"), F.col("client_ip")).alias("id")).distinct())
 
 
