@@ -1,6 +1,5 @@
 """Text operators against brute force, libraries and defined results at the edges."""
 
-import hashlib
 import random
 import re
 import struct
@@ -62,6 +61,10 @@ def test_bpe_columns(spark):
     for row in docs.withColumn("back", bpe.decode(F.col("ids"), PATH)).collect():
         assert row["back"] == (row["text"] or "")
     assert docs.limit(0).collect() == []
+    both = bpe.round_trip(docs.withColumn("coded", F.lit(1)), PATH, ["doc_id", "coded", "score"])
+    for row, ids in zip(sorted(both.collect()), [r["ids"] for r in docs.orderBy("doc_id").collect()], strict=True):
+        assert row["coded_"].ids == ids and row["coded_"].n_tokens == len(ids) and row["coded_"].decoded == (EDGES[row["doc_id"]] or "")
+    assert bpe.round_trip(docs.limit(0), PATH, []).columns == ["coded"]
     broken = spark.createDataFrame([([233, 72],), (None,), ([],)], "ids array<int>").select(bpe.decode(F.col("ids"), PATH)).collect()
     assert broken[1][0] is None and broken[2][0] == ""
 
@@ -304,11 +307,11 @@ def test_toxicity_features_do_not_depend_on_blocks(monkeypatch, block):
         assert got[i] == want
 
 
-@pytest.mark.parametrize("text", ["", "a b"])
-def test_digests(spark, text):
-    from threatloom.llm.queries import op1_bpe
-
-    row = op1_bpe.__name__ and spark.createDataFrame([(text,)], "text string").select(bpe.encode(F.col("text"), PATH).alias("i"))
-    told = row.select(F.sha2(F.array_join(F.col("i").cast("array<string>"), ","), 256)).first()[0]
-    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
-    assert told == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+def test_memory_of_pieces_is_bounded():
+    met = bpe.Recent(1000)
+    for k in range(100):
+        met.put(k, k, 100)
+        assert len(met) <= 5 and len(met.old) <= 5
+    assert met.get(99) == 99 and met.old.get(94) == 94
+    met.forget()
+    assert not met and not met.old

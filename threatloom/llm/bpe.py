@@ -10,28 +10,56 @@ prefixes, and steps back where none fits. Places proven dead are marked, so the
 
 import json
 import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threatloom.llm.frames import by_bytes, fresh, quoted
+
 # --- Fixed values: the split pattern of byte-level BPE vocabularies ------------------
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 # -------------------------------------------------------------------------------------
-#: Encoded pieces that one Python worker remembers; at this many it forgets all.
-REMEMBERED = 400_000
+#: Bytes that one Python worker spends on pieces it has met, and half as much on pairs; all are given back when its task
+#: ends. Of each, the older half goes when it is full.
+REMEMBERED_BYTES = 48 << 20
+#: A remembered text or pair costs about this much beside its own bytes.
+_ENTRY_BYTES = 160
+#: Text bytes that are encoded at a time.
+SLICE_BYTES = 2 << 20
 #: Longer pieces are encoded anew each time.
 REMEMBERED_LENGTH = 64
 
 
+class Recent(dict):
+    """A dictionary that keeps what was met lately, in two generations of at most half of `limit` bytes each."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.spent, self.old = limit // 2, 0, {}
+
+    def put(self, key, value, size: int):
+        if self.spent + size > self.half:
+            self.old, self.spent = dict(self), 0
+            self.clear()
+        self.spent += size
+        self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.spent = {}, 0
+
+
 def _byte_characters() -> dict[str, int]:
     """The printable stand-in of each byte: itself where printable, else the next free code point from 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -68,9 +96,14 @@ class Encoder:
                 self.made_from[made], self.rank_of[made] = pair, rank
         self.automaton = ahocorasick.Automaton()
         usable = {text: i for text, i in ids.items() if len(text) == 1 or i in self.made_from}
+        self.single = [0] * 256
         for text, token_id in usable.items():
-            self.automaton.add_word(text.decode("latin-1"), (len(text), token_id))
+            if len(text) == 1:
+                self.single[text[0]] = token_id  # matches everywhere: no need to search for it
+            else:
+                self.automaton.add_word(text.decode("latin-1"), (len(text) - 1, token_id))
         self.automaton.make_automaton()
+        self.sizes = [len(text) for text in self.token]
         # Of each token, the longest shorter one that it begins with.
         self.shorter: dict[int, int] = {}
         for text, token_id in usable.items():
@@ -79,8 +112,7 @@ class Encoder:
                     self.shorter[token_id] = usable[text[:end]]
                     break
         self.whole = {text: i for text, i in usable.items()}
-        self._compatible: dict[tuple[int, int], bool] = {}
-        self._known: dict[str, bytes] = {}
+        self._compatible, self._known = Recent(REMEMBERED_BYTES // 2), Recent(REMEMBERED_BYTES)
         self.pieces = regex.compile(PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split if self.special else None
         sizes = np.array([len(t) for t in self.token])
@@ -89,12 +121,11 @@ class Encoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens gives these two tokens."""
-        pair = (left, right)
+        pair = left << 32 | right
         known = self._compatible.get(pair)
         if known is None:
-            if len(self._compatible) >= REMEMBERED:
-                self._compatible.clear()
-            known = self._compatible[pair] = self._judge(left, right)
+            known = self._compatible.old.get(pair)
+            known = self._compatible.put(pair, self._judge(left, right) if known is None else known, _ENTRY_BYTES)
         return known
 
     def _judge(self, left: int, right: int) -> bool:
@@ -123,35 +154,48 @@ class Encoder:
         size = len(piece)
         if not size:
             return []
-        longest = [0] * size
-        for end, (length, token_id) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - length + 1] = token_id  # a later end is a longer match
+        longest = [self.single[byte] for byte in piece]
+        for end, (back, token_id) in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - back] = token_id  # a later end is a longer match
         dead = bytearray(size + 1)
         found: list[int] = []
-        at, token, shorter, texts = 0, longest[0], self.shorter, self.token
+        at, token, left, shorter, sizes, met = 0, longest[0], -1, self.shorter, self.sizes, self._compatible.get
         while True:
-            end = at + len(texts[token])
-            if not dead[end] and (not found or self.compatible(found[-1], token)):
+            end = at + sizes[token]
+            fits = not dead[end]
+            if fits and left >= 0:
+                fits = met(left << 32 | token)
+                if fits is None:
+                    fits = self.compatible(left, token)
+            if fits:
                 found.append(token)
                 if end == size:
                     return found
-                at, token = end, longest[end]
+                at, left, token = end, token, longest[end]
             elif token in shorter:
                 token = shorter[token]
             else:
                 dead[at] = 1
                 token = found.pop()
-                at -= len(texts[token])
+                at -= sizes[token]
+                left = found[-1] if found else -1
 
     def _packed(self, piece: str) -> bytes:
-        ids = self.encode_piece(piece.encode())
-        packed = struct.pack(f"<{len(ids)}i", *ids)
+        packed = self._known.old.get(piece)
+        if packed is None:
+            raw = piece.encode()
+            whole = self.whole.get(raw)
+            ids = self.encode_piece(raw) if whole is None else (whole,)  # the longest match at 0 that ends the piece
+            packed = struct.pack(f"<{len(ids)}i", *ids)
         if len(piece) <= REMEMBERED_LENGTH:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[piece] = packed
+            self._known.put(piece, packed, _ENTRY_BYTES + len(piece) + len(packed))
         return packed
 
+    def forget(self) -> None:
+        """Give back what was remembered; the vocabulary stays."""
+        self._compatible.forget()
+        self._known.forget()
+
     def encode_packed(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers. Special strings in it are their tokens."""
         if self.split_special is not None and any(name in text for name in self.special):
@@ -197,6 +241,43 @@ def encode(text: Column, path: str) -> Column:
 _DECODE_IDS = 1 << 20
 
 
+def _decoded(model: Encoder, ids: np.ndarray) -> str:
+    blocks = (ids[k : k + _DECODE_IDS] for k in range(0, len(ids), _DECODE_IDS))
+    return b"".join(model.decode_flat(block)[0].tobytes() for block in blocks).decode(errors="replace")
+
+
+def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text", coded: str = "coded") -> DataFrame:
+    """The columns `keep` and a struct `coded` of `ids`, `n_tokens` and `decoded`, the text that the ids give back.
+
+    Each text is encoded once. A null text is empty; equal rows are treated alike; an empty table
+    stays empty. Where `keep` has a column named `coded`, underscores are added to the new name.
+    A task holds SLICE_BYTES of text at a time, or one text, and what it remembers goes when it ends.
+    """
+    (coded,) = fresh(docs.select(*[quoted(name) for name in keep]), coded)
+    body = fresh(docs.select(*[quoted(name) for name in keep]), "body")[0]
+    kind = T.StructType(
+        [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]
+    )
+    told = docs.select(*[quoted(name) for name in keep], quoted(text).alias(body))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(path)
+        try:
+            for part in by_bytes(batches, body, SLICE_BYTES):
+                packed = [model.encode_packed(t) if t else b"" for t in (x.as_py() for x in part.column(body))]
+                ids = [np.frombuffer(p, dtype="<i4") for p in packed]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
+                texts = pa.array([_decoded(model, i) for i in ids], pa.string())
+                made = pa.StructArray.from_arrays([lists, pa.array(sizes), texts], names=kind.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in keep), made], [*keep, coded])
+        finally:
+            model.forget()
+
+    fields = T.StructType([*told.select(*[quoted(name) for name in keep]).schema.fields, T.StructField(coded, kind)])
+    return told.mapInArrow(run, fields)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of each array of ids, special tokens included; bytes that are not UTF-8 become U+FFFD. Null stays null."""
 
@@ -206,9 +287,7 @@ def decode(ids: Column, path: str) -> Column:
             if not row.is_valid:
                 out.append(None)
                 continue
-            values = row.values.to_numpy(zero_copy_only=False)
-            blocks = (values[k : k + _DECODE_IDS] for k in range(0, len(values), _DECODE_IDS))
-            out.append(b"".join(model.decode_flat(block)[0].tobytes() for block in blocks).decode(errors="replace"))
+            out.append(_decoded(model, row.values.to_numpy(zero_copy_only=False)))
         return pa.array(out, pa.string())
 
     return F.arrow_udf(run, T.StringType())(ids)

@@ -29,15 +29,12 @@ def _fold(modulus: int):
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
-    docs = _table(spark, sf_dir, "documents").select("doc_id", bpe.encode(F.col("text"), path).alias("ids"))
-    back = docs.select("doc_id", "ids", bpe.decode(F.col("ids"), path).alias("decoded"))
-    told = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return back.select(
+    coded = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), ["doc_id"])
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(told, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "coded.n_tokens",
+        F.sha2(F.array_join(F.col("coded.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
 
 
