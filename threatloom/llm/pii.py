@@ -55,7 +55,7 @@ def base_spans(text: str) -> list[Span]:
             found += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text, word.start(), word.end())]
     if _ANY_DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in m.group().split("."))):
                 found.append((m.start(), m.end(), 1))
         for m in CARD.finditer(text):
             if 12 <= m.end() - m.start():
