@@ -10,6 +10,7 @@ beam, and all queries of a block walk together. Shard results are merged by exac
 Equal vectors are one node that carries its smallest ids, as many as any answer can use.
 """
 
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -157,6 +158,47 @@ def search(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], que
     return start[:, : max(k, 1)]
 
 
+@dataclass(frozen=True)
+class Scale:
+    """How a shard's vectors are brought near 1 for the search: a power of two, the precision, and the largest value kept.
+
+    Single precision serves vectors whose largest components lie within a factor of a million;
+    others are searched in double precision. Values beyond `most` are as far as `most` from any other.
+    """
+
+    power: int
+    kind: type
+    most: float
+
+    @staticmethod
+    def of(vectors: np.ndarray) -> "Scale":
+        sizes = np.abs(vectors).max(axis=1)
+        middle = _power(float(np.median(sizes)))
+        wide = _power(float(sizes.min())) - _power(float(sizes.max())) > 20
+        return Scale(middle, np.float64, 1e150) if wide else Scale(middle, np.float32, 1e15)
+
+    def __call__(self, vectors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.clip(np.ldexp(vectors, self.power), -self.most, self.most).astype(self.kind)
+
+
+def _power(size: float) -> int:
+    return -int(np.frexp(size)[1])
+
+
+def _distances(vectors: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, at any magnitude."""
+    with np.errstate(over="ignore"):
+        gaps = vectors - to
+        plain = np.sqrt((gaps * gaps).sum(axis=1))
+    odd = ~np.isfinite(plain) | (plain < 1e-140)
+    if odd.any():
+        gaps = np.ldexp(vectors[odd], -1) - np.ldexp(to, -1)
+        power = _power(float(np.abs(gaps).max()))
+        plain[odd] = np.ldexp(np.sqrt((np.ldexp(gaps, power) ** 2).sum(axis=1)), 1 - power)
+    return plain
+
+
 # ---- shards in Spark ------------------------------------------------------------------------
 
 
@@ -189,7 +231,7 @@ def index(embeddings: DataFrame, keep: int, vec_id: str = "vec_id", vector: str
         # Sorted by first id, so that the graph does not depend on the order of arrival.
         group = group.take(np.argsort([o[0] for o in group["owners"].to_pylist()], kind="stable"))
         vectors = _matrix(group["v"])
-        layers = build(vectors.astype(np.float32), seed=int(group["shard"][0].as_py()), m=m)
+        layers = build(Scale.of(vectors)(vectors), seed=int(group["shard"][0].as_py()), m=m)
         return pa.table(
             {
                 "dim": pa.array([vectors.shape[1]], pa.int32()),
@@ -238,10 +280,11 @@ def nearest(
             row = graph.to_pylist()[0]
             vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
             asked_ids, asked_for = group["query_id"].to_numpy(), _matrix(group["q"])
-            found = search(vectors.astype(np.float32), _layers(row, 2 * m), asked_for.astype(np.float32), k + 1, beam)
+            scale = Scale.of(vectors)
+            found = search(scale(vectors), _layers(row, 2 * m), scale(asked_for), k + 1, beam)
             for i, nodes in enumerate(found):
                 nodes = nodes[nodes >= 0]
-                scores = np.sqrt(((vectors[nodes] - asked_for[i]) ** 2).sum(axis=1))
+                scores = _distances(vectors[nodes], asked_for[i])
                 pairs = sorted((s, o) for s, node in zip(scores.tolist(), nodes.tolist(), strict=True) for o in row["owners"][node] if o != asked_ids[i])[:k]
                 out["query_id"] += [int(asked_ids[i])] * len(pairs)
                 out["score"] += [p[0] for p in pairs]
