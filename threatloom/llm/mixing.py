@@ -108,11 +108,17 @@ def mix(
 ) -> DataFrame:
     """The rows of `docs`, each as often as the mixture draws it, numbered 1, 2, .. in column `copy`.
 
+    Column `turn` realises the permutation: in its order the blocks of all sources and epochs
+    follow one another by hash, and the documents of a block by theirs, so a reader that sorts or
+    range-partitions by it meets the sources at their weights all along.
+
     Tokens drawn from a source never exceed its quota; they fall short of it by less than one
     document. Null sources are one source, null ids and texts are drawn like others, equal rows
-    are drawn together or not at all in a last epoch. An empty table stays empty.
+    are drawn together or not at all in a last epoch. An empty table stays empty. Where `docs` has
+    a column named like `copy` or `turn`, underscores are added to the new one's name.
     """
-    size, key, block, drawn, epochs = fresh(docs, "size", "key", "block", "drawn", "epochs")
+    size, key, block, epochs = fresh(docs, "size", "key", "block", "epochs")
+    copy, turn = fresh(docs, copy, "turn")
     names = docs.columns
     sized = docs.withColumn(size, words_as_tokens(quoted(text)) if tokens is None else tokens)
     counts = kept_in_table(source_tokens(sized, quoted(size), source), "mix-counts")
@@ -126,11 +132,13 @@ def mix(
     )
     plan = kept_in_table(plan, "mix-plan")
 
+    def hashed_key(epochs: str) -> Column:
+        return F.xxhash64(quoted(doc_id), quoted(text), quoted(epochs), F.lit(seed))
+
     def placed(frame: DataFrame, other: DataFrame) -> DataFrame:
         """Key and block of each row in the epoch that is drawn in part."""
         joined = frame.join(other, quoted(source).eqNullSafe(F.col("plan_source")), "inner")
-        hashed = F.xxhash64(quoted(doc_id), quoted(text), quoted(epochs), F.lit(seed))
-        return joined.withColumn(key, hashed).withColumn(block, F.pmod(F.xxhash64(quoted(key)), F.col("blocks")))
+        return joined.withColumn(key, hashed_key(epochs)).withColumn(block, F.pmod(F.xxhash64(quoted(key)), F.col("blocks")))
 
     narrow = placed(sized.select(quoted(source), quoted(doc_id), quoted(text), quoted(size)), plan.filter("rest > 0"))
     narrow = narrow.select("plan_source", "rest", quoted(block).alias("block"), quoted(key).alias("key"), quoted(size).alias("size"))
@@ -156,20 +164,19 @@ def mix(
         .select("plan_source", epochs, "rest", "blocks", "cut_block", "last_key")
     )
     bounds = kept_in_table(bounds, "mix-bounds")
-    renamed = {name: f"{name}__plan" for name in ("plan_source", "rest", "blocks", "cut_block", "last_key")}
-    everything = placed_all(sized, bounds.withColumnsRenamed(renamed), source, doc_id, text, epochs, key, block, seed)
-    partly = (F.col("rest__plan") > 0) & (
-        F.col("cut_block__plan").isNull()
-        | (quoted(block) < F.col("cut_block__plan"))
-        | ((quoted(block) == F.col("cut_block__plan")) & (quoted(key) <= F.col("last_key__plan")))
+    own, rest, blocks, cut_block, last_key = fresh(docs, "plan_source", "rest", "blocks", "cut_block", "last_key")
+    bounds = bounds.toDF(own, epochs, rest, blocks, cut_block, last_key)
+    everything = sized.join(bounds, quoted(source).eqNullSafe(quoted(own)), "inner").withColumn(key, hashed_key(epochs))
+    everything = everything.withColumn(block, F.pmod(F.xxhash64(quoted(key)), quoted(blocks)))
+    partly = (quoted(rest) > 0) & (
+        quoted(cut_block).isNull()
+        | (quoted(block) < quoted(cut_block))
+        | ((quoted(block) == quoted(cut_block)) & (quoted(key) <= quoted(last_key)))
     )
     times = quoted(epochs) + F.coalesce(partly, F.lit(False)).cast("int")
-    copies = F.explode(F.sequence(F.lit(1), times)).alias(copy)
-    return everything.withColumn(drawn, times).filter(quoted(drawn) > 0).select(*[quoted(n) for n in names], copies)
-
-
-def placed_all(frame, bounds, source, doc_id, text, epochs, key, block, seed) -> DataFrame:
-    """As `placed`, beside all columns of the documents. The table of sources is small, so Spark broadcasts it by its size on disk."""
-    joined = frame.join(bounds, quoted(source).eqNullSafe(F.col("plan_source__plan")), "inner")
-    hashed = F.xxhash64(quoted(doc_id), quoted(text), quoted(epochs), F.lit(seed))
-    return joined.withColumn(key, hashed).withColumn(block, F.pmod(F.xxhash64(quoted(key)), F.col("blocks__plan")))
+    drawn = everything.withColumn(copy, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))
+    # Epochs are shuffled anew each: the key and the block of a row depend on the number of its copy.
+    of_copy = F.xxhash64(quoted(key), quoted(copy))
+    of_block = F.xxhash64(quoted(source), quoted(copy), F.pmod(of_copy, quoted(blocks)), F.lit(seed))
+    placed_at = F.shiftleft(of_block, 32).bitwiseOR(F.shiftrightunsigned(of_copy, 32))
+    return drawn.select(*[quoted(n) for n in names], quoted(copy), placed_at.alias(turn))

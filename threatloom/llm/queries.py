@@ -73,7 +73,7 @@ def op7_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, repeats=REPEATS).select("doc_id", "source", "copy")
+    return mixing.mix(docs, repeats=REPEATS).select("doc_id", "source", "copy", "turn")
 
 
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
