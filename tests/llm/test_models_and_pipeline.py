@@ -34,6 +34,30 @@ def test_nearest(spark):
     assert not [r for r in found if r["query_id"] == 664] and hnsw.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_nearest_at_any_magnitude(spark):
+    rng = np.random.default_rng(3)
+    plain = rng.normal(size=(60, 8))
+    for size in (1e20, 1e-25, 1e200, 1e-200, 1e307):
+        rows = [(i, (v * size / 4).tolist()) for i, v in enumerate(plain)] + ([(60, [1e30] * 8)] if size < 1 else [])
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = hnsw.nearest(table, table.filter("vec_id = 0")).orderBy("rank").collect()
+        far = np.sqrt(((plain - plain[0]) ** 2).sum(axis=1)) / 4
+        assert [r["vec_id"] for r in found] == [i for i in np.argsort(far) if i][:10]
+        assert all(abs(r["score"] / size - far[r["vec_id"]]) < 1e-12 for r in found)
+
+
+def test_turns_and_names_of_a_mixture(spark):
+    rows = [(i, "w " * (1 + i % 5), "abc"[i % 7 % 3], i, "x", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy long, rest__plan string, turn int")
+    got = mixing.mix(docs, repeats=1.5, block_tokens=100)
+    assert got.columns == [*docs.columns, "copy_", "turn_"] and got.filter("copy <> doc_id").count() == 0
+    turns = [(r["turn_"], r["source"]) for r in got.collect()]
+    assert len({t for t, _ in turns}) == len(turns)
+    ordered = [s for _, s in sorted(turns)]
+    share, early = Counter(ordered), Counter(ordered[: len(ordered) // 2])
+    assert all(abs(early[s] / len(ordered) * 2 - share[s] / len(ordered)) < 0.1 for s in share)
+
+
 def test_mixture(spark):
     rows = [(i, f"{i} " + "w " * (i % 7), "big" if i < 700 else "mid" if i < 900 else None, 0) for i in range(1000)]
     docs = spark.createDataFrame(rows + [(2000, "", "empty", 0), (2001, None, "empty", 0)], "doc_id long, text string, source string, size int")

@@ -103,6 +103,9 @@ def test_quality_model(spark):
     model = quality.fit(docs, labels)
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs, model).collect()}
     assert sum(kept[i] for i in range(60)) >= 57 and not any(kept[i] for i in range(60, 120))
+    taken = docs.withColumns({"kept": F.lit(7), "score": F.lit("s"), "n_words": F.lit(None).cast("int"), "own": F.lit(1)})
+    left = quality.accepted(taken, model).collect()
+    assert {r["doc_id"] for r in left} == {i for i, k in kept.items() if k} and {(r["kept"], r["score"], r["n_words"]) for r in left} == {(7, "s", None)}
     nothing = quality.fit(docs, labels.limit(0))
     assert {r["doc_id"] for r in quality.judge(docs, nothing).filter("NOT kept AND NOT base_failed").collect()} == set()
     assert quality.judge(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
@@ -315,3 +318,9 @@ def test_memory_of_pieces_is_bounded():
     assert met.get(99) == 99 and met.old.get(94) == 94
     met.forget()
     assert not met and not met.old
+
+
+def test_personal_data_with_endless_octets():
+    assert pii.base_spans("1.2.3." + "0" * 9000 + "7") == [(0, 9007, 1)]
+    assert pii.base_spans("1.2.3." + "0" * 9000) == [(0, 9006, 1)]
+    assert pii.base_spans("1.2.3." + "9" * 9000) == [] and pii.base_spans("0256.1.1.1 255.1.1.0256") == []

@@ -208,9 +208,17 @@ def best_cut(bins: list, width: float, limit: float) -> float:
 def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """Base counts, base_failed, score and kept for every document, beside its own columns.
 
-    A text is kept unless a base rule fails it or its score is below the threshold.
+    A text is kept unless a base rule fails it or its score is below the threshold. Equal rows are
+    judged alike, an empty table stays empty. Own columns of these names are replaced; `accepted`
+    leaves them as they are.
     """
     (word,) = fresh(docs, "word")
     split = docs.withColumn(word, words(quoted(text)))
     scored = with_score(_counted(split, text, word), word, model.ratio).drop(word)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= model.threshold))
+
+
+def accepted(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
+    """The rows of `docs` that `judge` keeps, with all their columns untouched, whatever these are called."""
+    own = F.struct(*[quoted(name) for name in docs.columns])
+    return judge(docs.select(own.alias("own"), quoted(text).alias("text")), model).filter("kept").select("own.*")
