@@ -18,9 +18,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a base rule or the learnt score rejects go."""
+    """Documents that a base rule or the learnt score rejects go. Null and empty texts fail a base rule; equal rows go or
+    stay together; columns keep their names and values; an empty table stays empty."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, model).filter("kept").select(*[quoted(name) for name in docs.columns])
+    return quality.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +30,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind; n_chars follows the new text."""
+    """Personal data in texts is replaced by its kind; n_chars follows the new text. A null text stays null, as does its
+    n_chars; rows are neither dropped nor joined; further columns stay as they are."""
     masked = docs.withColumn("text", pii.mask(F.col("text"), pii.fit(docs)))
     return masked.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources are repeated towards even weights, every document is kept once at least."""
+    """Small sources are repeated towards even weights, every document is kept once at least. A null source is a source."""
     return mixing.mix(docs, repeats=REPEATS).select(*[quoted(name) for name in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, with its id and source; `exact` says that decoding gives the text back."""
-    path = public_tokenizers.path(VOCABULARY)
-    coded = docs.select("doc_id", "lang", "source", "text", bpe.encode(F.col("text"), path).alias("ids"))
-    exact = bpe.decode(F.col("ids"), path) == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), exact.alias("exact"))
+    """Token ids of each text, with its id and source; `exact` says that decoding gives the text back. A null text has no ids."""
+    coded = bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), ["doc_id", "lang", "source", "text"])
+    exact = F.col("coded.decoded") == F.coalesce("text", F.lit(""))
+    return coded.select("doc_id", "lang", "source", "coded.ids", "coded.n_tokens", exact.alias("exact"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -55,7 +56,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokens", tokens),
 ]
 
-#: Hashes, trained models and the tokenizer are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Hashes, trained models and the tokenizer are beyond SQL; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
