@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import bpe, hnsw, merkle, mixing, pii, pitman_yor, quality, simhash, token_counts, toxicity, url_filter
+from threatloom.llm import bpe, hnsw, merkle, mixing, pii, pitman_yor, quality, simhash, token_counts, toxicity, url_filter, whitening
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES: list[url_filter.Rule] = [
@@ -87,6 +87,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.coalesce(_fold(7) == 0, F.lit(False)) & F.col("n_chars").isNotNull()
@@ -104,7 +108,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_bpe, op2_url_filter, op3_token_counts, op4_quality_rules, op5_simhash, op6_pii, op7_hnsw, op8_mixing,
-        op9_pitman_yor, op10_toxicity, op13_merkle,
+        op9_pitman_yor, op10_toxicity, op12_whitening, op13_merkle,
     )
     return {query.__name__: query for query in found}
 
