@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatloom.llm import bpe, hnsw, merkle, mixing, pii, pitman_yor, quality, simhash, token_counts, toxicity, url_filter, whitening
+from threatloom.llm import bpe, hnsw, merkle, mixing, pii, pitman_yor, quality, repeats, simhash, sql, token_counts, toxicity, url_filter, whitening
 
 VOCABULARY = "byte_bpe_50k.json"
 URL_RULES: list[url_filter.Rule] = [
@@ -87,6 +87,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -108,11 +113,11 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_bpe, op2_url_filter, op3_token_counts, op4_quality_rules, op5_simhash, op6_pii, op7_hnsw, op8_mixing,
-        op9_pitman_yor, op10_toxicity, op12_whitening, op13_merkle,
+        op9_pitman_yor, op10_toxicity, op11_repeats, op12_whitening, op13_merkle,
     )
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: hashing (XXH64), trained models, samplers and tokenizers are beyond SQL. tests/llm has brute-force versions."""
-    return {}
+    """SQL has no XXH64, tokenizers, trained models, samplers or eigenvectors; tests/llm has brute-force versions of the rest."""
+    return dict(sql.ORACLE)

@@ -74,7 +74,7 @@ class Fit:
     def scatter(self) -> float:
         """Squared length of all centred rows together: n times the trace of the covariance, rounded once."""
         exact = self.n * self.squares - sum(s * s for s in self.sums)
-        return exact / self.n
+        return exact / self.n if self.n else 0.0
 
 
 def fit(distinct: DataFrame, dimension: int) -> Fit:
@@ -195,7 +195,7 @@ def whiten(
     fitted = fit(distinct, len(first[0]) if first else 0)
     found = components(distinct, fitted, count, seed)
     spread = found.values / np.sqrt(max(1, fitted.n))
-    explained = found.values**2 / fitted.scatter if fitted.n else found.values
+    explained = found.values**2 / (fitted.scatter or 1.0)
     k = len(spread)
 
     def project(x: np.ndarray) -> np.ndarray:
