@@ -144,14 +144,16 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     """
     found = kept_in_table(pieces(docs, window, gram), "repeats-pieces")
     shared = found.groupBy("sequence").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    alike = kept_in_table(found.join(shared.select("sequence"), "sequence"), "repeats-alike")
+    # Sums are written before they are joined: Spark can then split a key that many rows share.
+    shared = kept_in_table(shared.select("sequence"), "repeats-shared")
+    alike = kept_in_table(found.join(shared, "sequence"), "repeats-alike")
     source = alike.groupBy("piece", "sequence").agg(F.min(F.struct("doc", "spot")).alias("source"), F.max("doc").alias("last"))
     source = kept_in_table(source, "repeats-sources")
     # Sequences with more than one smallest document: some windows of their pieces may still be older elsewhere.
     mixed = source.groupBy("sequence").agg(F.min("source.doc").alias("least"), F.max("source.doc").alias("most"))
-    opened = source.join(mixed.filter("least < most").select("sequence"), "sequence").select("piece", F.lit(True).alias("mixed"))
-    told = source.select("piece", "source", "last").join(opened, "piece", "left")
-    told = told.filter("mixed OR source.doc < last")
+    mixed = kept_in_table(mixed.filter("least < most").select("sequence", F.lit(True).alias("mixed")), "repeats-mixed")
+    told = source.join(mixed, "sequence", "left").filter("mixed OR source.doc < last").select("piece", "source", "mixed")
+    told = kept_in_table(told, "repeats-told")
     placed = alike.select("piece", "doc", "spot").join(told, "piece")
     placed = placed.filter("source.doc < doc OR (mixed AND source.doc = doc)").select(
         "doc", _version().alias("version"), _place(F.col("spot")).alias("start"), _size(F.col("spot")).alias("size"),
@@ -160,7 +162,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     placed = kept_in_table(placed, "repeats-placed")
     windows = kept_in_table(_windows(docs, placed.filter("NOT whole"), window), "repeats-windows")
     oldest = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("source"), F.max("doc").alias("last"))
-    matched = windows.join(oldest.filter("source.doc < last"), "window").filter("source.doc < doc")
+    oldest = kept_in_table(oldest.filter("source.doc < last"), "repeats-oldest")
+    matched = windows.join(oldest, "window").filter("source.doc < doc")
     singles = matched.select("doc", "version", "start", F.lit(1).alias("size"), F.col("source.doc").alias("from"), F.col("source.start").alias("spot"))
     spans = placed.filter("whole").select("doc", "version", "start", "size", "from", "spot").unionByName(singles)
     every = F.array_sort(F.collect_list(F.struct("start", "size", F.col("from").alias("doc"), "spot")))
