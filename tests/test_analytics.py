@@ -19,23 +19,23 @@ def events(spark):
 
 
 def test_aggregates(events):
-    one = an.filter_events(events, config_id=14227)
-    assert an.total_events(one).first()[0] == 6
+    one = an.filter_events(events, config_id=31)
+    assert an.total_events(one).first()[0] == 7
     assert sorted(rows(an.by_category(one), "category", "event_count", "average_threat_score")) == [
-        ("BOT", 2, 45.0), ("INJECTION", 3, 80.0), ("XSS", 1, 30.0),
+        ("BOT", 2, 27.0), ("DOS", 1, 45.0), ("INJECTION", 3, 71.0), ("XSS", 1, 10.0),
     ]
-    assert dict(rows(an.by_action(one), "action", "event_count")) == {"DENY": 3, "ALERT": 2, "MONITOR": 1}
+    assert dict(rows(an.by_action(one), "action", "event_count")) == {"DENY": 4, "ALERT": 1, "MONITOR": 2}
     assert rows(an.top_attackers(one), "client_ip", "event_count") == [
-        ("203.0.113.42", 3), ("198.51.100.7", 2), ("192.0.2.11", 1),
+        ("192.0.2.200", 3), ("198.51.100.90", 3), ("203.0.113.8", 1),
     ]
-    assert rows(an.top_paths(one), "path", "event_count") == [("/admin", 3), ("/api/v1/login", 2), ("/search", 1)]
-    assert an.find_by_config(events, 99001).count() == 1
+    assert rows(an.top_paths(one), "path", "event_count") == [("/admin/audit", 2), ("/basket", 2), ("/login/start", 2), ("/team", 1)]
+    assert an.find_by_config(events, 77).count() == 1
 
 
 def test_summary_equals_its_parts(events):
-    one = an.filter_events(events, config_id=14227)
+    one = an.filter_events(events, config_id=31)
     got = sorted(rows(summary(one), "section", "key", "event_count"), key=str)
-    parts = [("total", None, 6)] + [("category", *r) for r in rows(an.by_category(one), "category", "event_count")]
+    parts = [("total", None, 7)] + [("category", *r) for r in rows(an.by_category(one), "category", "event_count")]
     parts += [("action", *r) for r in rows(an.by_action(one), "action", "event_count")]
     parts += [("attacker", *r) for r in rows(an.top_attackers(one), "client_ip", "event_count")]
     parts += [("path", *r) for r in rows(an.top_paths(one), "path", "event_count")]
@@ -60,29 +60,27 @@ def test_missing_category_and_path(spark):
 
 
 def test_document(events):
-    doc = summary_document(summary(an.filter_events(events, config_id=14227))).first()
-    assert doc["totalEvents"] == 6 and doc["byAction"] == {"DENY": 3, "ALERT": 2, "MONITOR": 1}
-    assert tuple(doc["byCategory"]["INJECTION"]) == (3, 80.0)
-    assert [tuple(r) for r in doc["topAttackers"]][:2] == [("203.0.113.42", 3, 80.0), ("198.51.100.7", 2, 45.0)]
-    assert [r["path"] for r in doc["topTargetedPaths"]] == ["/admin", "/api/v1/login", "/search"]
+    doc = summary_document(summary(an.filter_events(events, config_id=31))).first()
+    assert doc["totalEvents"] == 7 and doc["byAction"] == {"DENY": 4, "ALERT": 1, "MONITOR": 2}
+    assert tuple(doc["byCategory"]["INJECTION"]) == (3, 71.0)
+    assert [tuple(r) for r in doc["topAttackers"]][:2] == [("192.0.2.200", 3, 71.0), ("198.51.100.90", 3, 33.0)]
+    assert [r["path"] for r in doc["topTargetedPaths"]] == ["/admin/audit", "/basket", "/login/start", "/team"]
     empty = summary_document(summary(an.filter_events(events, config_id=1))).first()
     assert empty["totalEvents"] == 0 and empty["byCategory"] == {} and empty["topAttackers"] == []
 
 
 def test_pages(events):
-    one = an.filter_events(events, config_id=14227)
-    assert rows(an.samples_page(one, limit=2), "event_id") == [("evt-0006",), ("evt-0005",)]
-    assert an.samples_total(one).first()[0] == 6
-    assert [r[0] for r in rows(an.samples_page(an.filter_events(one, category="INJECTION")), "event_id")] == [
-        "evt-0003", "evt-0002", "evt-0001",
-    ]
-    assert [r[0] for r in rows(an.samples_page(an.filter_events(one, action="ALERT")), "event_id")] == ["evt-0005", "evt-0004"]
-    assert rows(an.samples_page(one, limit=2, offset=4), "event_id") == [("evt-0002",), ("evt-0001",)]
+    one = an.filter_events(events, config_id=31)
+    assert rows(an.samples_page(one, limit=2), "event_id") == [("a7",), ("a6",)]
+    assert an.samples_total(one).first()[0] == 7
+    assert [r[0] for r in rows(an.samples_page(an.filter_events(one, category="INJECTION")), "event_id")] == ["a4", "a2", "a1"]
+    assert [r[0] for r in rows(an.samples_page(an.filter_events(one, action="MONITOR")), "event_id")] == ["a7", "a5"]
+    assert rows(an.samples_page(one, limit=2, offset=4), "event_id") == [("a3",), ("a2",)]
     assert an.samples_page(one, offset=99).count() == 0
 
 
 def test_deep_pages_agree_with_shallow_ones(spark, monkeypatch):
-    frame = stored(spark, [{"event_id": f"{i:04d}", "timestamp": f"2026-07-06T{i % 7:02d}:00:{i % 5:02d}.{i % 3}Z"} for i in range(300)]).cache()
+    frame = stored(spark, [{"event_id": f"{i:04d}", "timestamp": f"2025-09-02T{i % 7:02d}:00:{i % 5:02d}.{i % 3}Z"} for i in range(300)]).cache()
     shallow = {skip: rows(an.samples_page(frame, 50, skip), "event_id") for skip in (0, 33, 120, 280, 299, 300)}
     monkeypatch.setattr(an, "DEEP_PAGE", 0)
     assert {skip: rows(an.samples_page(frame, 50, skip), "event_id") for skip in shallow} == shallow
@@ -99,28 +97,28 @@ def test_page_is_a_top_k(events):
 
 def test_category_windows(events):
     def count(category, start, end):
-        return an.count_category_within(events, category, f"2026-07-06T{start}Z", f"2026-07-06T{end}Z").first()[0]
+        return an.count_category_within(events, category, f"2025-09-02T{start}Z", f"2025-09-02T{end}Z").first()[0]
 
-    assert count("INJECTION", "09:00:00", "09:10:00") == 3 and count("INJECTION", "09:00:01", "09:10:00") == 2
-    assert count("BOT", "09:00:00", "09:33:20") == 2 and count("DATA_LEAKAGE", "09:00:00", "09:33:20") == 1
-    assert count("DOS", "09:00:00", "09:33:20") == 0
+    assert count("INJECTION", "10:01:00", "10:08:20") == 3 and count("INJECTION", "10:01:01", "10:08:20") == 2
+    assert count("BOT", "10:05:50", "10:11:39") == 1 and count("DATA_LEAKAGE", "10:00:00", "10:30:00") == 1
+    assert count("RATE_LIMIT", "10:00:00", "10:30:00") == 0
 
 
 def test_timeseries(spark):
     frame = stored(spark, [
-        {"event_id": str(i), "config_id": c, "timestamp": f"2026-05-20T14:{t}Z"}
-        for i, (c, t) in enumerate([(14227, "00:30"), (14227, "02:00"), (14227, "07:00"), (14227, "13:00"), (99001, "08:00")])
+        {"event_id": str(i), "config_id": c, "timestamp": f"2025-03-11T10:{t}Z"}
+        for i, (c, t) in enumerate([(31, "02:10"), (31, "03:40"), (31, "11:00"), (31, "14:59"), (77, "09:30")])
     ])
 
     def series(interval, **conditions):
         buckets = an.timeseries(an.filter_events(frame, **conditions), interval)
         return [tuple(r) for r in buckets.select(F.date_format("bucket_start", "HH:mm"), "event_count").collect()]
 
-    assert series("5m", config_id=14227) == [("14:00", 2), ("14:05", 1), ("14:10", 1)]
-    assert [b for b, _ in series("1m", config_id=14227)] == ["14:00", "14:02", "14:07", "14:13"]
-    assert series("5m", config_id=99001) == [("14:05", 1)]
-    assert series("5m", config_id=14227, start="2026-05-20T14:01:00Z", end="2026-05-20T14:08:00Z") == [("14:00", 1), ("14:05", 1)]
-    assert series("1h") == [("14:00", 5)]
+    assert series("5m", config_id=31) == [("10:00", 2), ("10:10", 2)]
+    assert [b for b, _ in series("1m", config_id=31)] == ["10:02", "10:03", "10:11", "10:14"]
+    assert series("5m", config_id=77) == [("10:05", 1)]
+    assert series("5m", config_id=31, start="2025-03-11T10:03:00Z", end="2025-03-11T10:11:00Z") == [("10:00", 1), ("10:10", 1)]
+    assert series("1h") == [("10:00", 5)]
     with pytest.raises(ValueError, match="invalid interval: 2h"):
         an.timeseries(frame, "2h")
 
@@ -128,35 +126,35 @@ def test_timeseries(spark):
 def test_filters_prune_days_and_columns(spark, tmp_path):
     path = str(tmp_path / "events")
     write_events(set_a(spark).withColumn("event_date", F.to_date("timestamp")), path)
-    chosen = an.filter_events(read_events(spark, path), 14227, "2026-07-06T09:05:00Z", "2026-07-06T09:10:00Z")
+    chosen = an.filter_events(read_events(spark, path), 31, "2025-09-02T10:03:00Z", "2025-09-02T10:10:00Z")
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = an.by_category(chosen)._jdf.queryExecution().executedPlan().toString()
     assert "event_date" in re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan).group(1)
-    assert "EqualTo(config_id,14227)" in plan and "GreaterThanOrEqual(timestamp" in plan
+    assert "EqualTo(config_id,31)" in plan and "GreaterThanOrEqual(timestamp" in plan
     assert re.search(r"ReadSchema: struct<(.*?)>", plan).group(1) == (
         "timestamp:timestamp,config_id:int,category:string,threat_score:int"
     )
-    assert an.total_events(chosen).first()[0] == 2
+    assert an.total_events(chosen).first()[0] == 3
 
 
 def test_alerts(spark):
     frame = stored(spark, [
-        {"event_id": str(i), "category": c, "timestamp": f"2026-05-20T{t}:00Z", "config_id": i}
-        for i, (c, t) in enumerate([("INJECTION", "13:59"), ("INJECTION", "14:01"), ("INJECTION", "14:05"),
-                                    ("INJECTION", "14:09"), ("BOT", "14:00"), ("XSS", "14:08")])
+        {"event_id": str(i), "category": c, "timestamp": f"2025-03-11T{t}:00Z", "config_id": i}
+        for i, (c, t) in enumerate([("INJECTION", "08:49"), ("INJECTION", "08:52"), ("INJECTION", "08:55"),
+                                    ("INJECTION", "08:59"), ("BOT", "08:50"), ("XSS", "08:57")])
     ])
     table = alert_rules(spark, [
         ("i3", "INJECTION", 3, 10), ("i4", "INJECTION", 4, 10), ("i2m", "INJECTION", 3, 2), ("b1", "BOT", 1, 10),
         ("b2", "BOT", 2, 10), ("b9", "BOT", 1, 9), ("x", "XSS", 1, 10), ("d", "DOS", 1, 10),
     ])
-    got = evaluate_alerts(frame, table, "2026-05-20T14:10:00Z")
+    got = evaluate_alerts(frame, table, "2025-03-11T09:00:00Z")
     assert {r[0]: r[1:] for r in rows(got, "rule_id", "event_count", "firing")} == {
         "i3": (3, True), "i4": (3, False), "i2m": (1, False), "b1": (1, True), "b2": (1, False), "b9": (0, False),
         "x": (1, True), "d": (0, False),
     }
-    assert evaluate_alerts(frame, spark.createDataFrame([], ALERT_RULE), "2026-05-20T14:10:00Z").count() == 0
+    assert evaluate_alerts(frame, spark.createDataFrame([], ALERT_RULE), "2025-03-11T09:00:00Z").count() == 0
     bounds = got.filter("rule_id = 'i2m'").select(F.date_format("window_from", "HH:mm"), F.date_format("window_to", "HH:mm"))
-    assert tuple(bounds.first()) == ("14:08", "14:10")
+    assert tuple(bounds.first()) == ("08:58", "09:00")
 
 
 def test_alert_rule_validation(spark):

@@ -19,8 +19,8 @@ def events(spark, start, end):
         spark,
         [
             {
-                "eventId": f"evt-{i % 40}", "clientIp": f"203.0.113.{i % 2}", "arrival": i,
-                "received_at": f"2026-05-20T14:{(i % 40) // 2:02d}:00Z", "timestamp": f"2026-05-20T13:{i % 40:02d}:10Z",
+                "eventId": f"k-{i % 40}", "clientIp": f"203.0.113.{i % 2}", "arrival": i,
+                "received_at": f"2025-03-11T14:{(i % 40) // 2:02d}:00Z", "timestamp": f"2025-03-11T13:{i % 40:02d}:10Z",
             }
             for i in range(start, end)
         ],
@@ -77,13 +77,13 @@ def test_rule_edits_apply_to_the_next_batch(spark, tmp_path):
     deliver(spark, base, 10, 20)
     run(spark, base, lambda: table[0])
     scored = dict(rows(read_events(spark, f"{base}/events"), "event_id", "threat_score"))
-    assert all((scored[f"evt-{i}"] > 0) == (i < 10) for i in range(20))
+    assert all((scored[f"k-{i}"] > 0) == (i < 10) for i in range(20))
 
 
 def test_an_id_is_new_again_after_an_hour(spark, tmp_path):
     times = ["14:00:00", "14:59:59", "15:00:00"]
-    raw = raw_events(spark, [{"received_at": f"2026-05-20T{t}Z"} for t in times])
-    earlier = raw.limit(1).selectExpr("'evt-1' AS event_id", "'x' AS client", "received_at", "arrival").filter("arrival = 0")
+    raw = raw_events(spark, [{"received_at": f"2025-03-11T{t}Z"} for t in times])
+    earlier = raw.limit(1).selectExpr("'k-1' AS event_id", "'x' AS client", "received_at", "arrival").filter("arrival = 0")
     later = raw.filter("arrival > 0")
     assert rows(enrichment.first_sights(later.filter("arrival = 1"), earlier), "arrival") == []
     assert rows(enrichment.first_sights(later.filter("arrival = 2"), earlier), "arrival") == [(2,)]
@@ -92,7 +92,7 @@ def test_an_id_is_new_again_after_an_hour(spark, tmp_path):
 def test_the_cut_into_batches_changes_no_first_sight(spark):
     """Copies of one id up to three hours apart, two of them at one instant."""
     times = ["14:00", "14:59", "15:00", "15:00", "15:30", "16:10", "17:09", "17:10"]
-    raw = raw_events(spark, [{"received_at": f"2026-05-20T{t}:00Z"} for t in times]).cache()
+    raw = raw_events(spark, [{"received_at": f"2025-03-11T{t}:00Z"} for t in times]).cache()
     seen = "rawEvent.eventId AS event_id", "rawEvent.clientIp AS client", "received_at", "arrival"
     none = raw.limit(0).selectExpr(*seen)
     whole = [r[0] for r in rows(enrichment.first_sights(raw, none).orderBy("arrival"), "arrival")]
@@ -118,7 +118,7 @@ def test_alerts_after_each_batch(spark, tmp_path):
     base, seen = str(tmp_path), []
     rules = alert_rules(spark, [("a", "INJECTION", 15, 60)])
     hook = live.alerts_after_batch(
-        f"{base}/events", lambda: rules, lambda df, i: seen.append(rows(df, "event_count", "firing")[0]), lambda: "2026-05-20T13:59:59Z"
+        f"{base}/events", lambda: rules, lambda df, i: seen.append(rows(df, "event_count", "firing")[0]), lambda: "2025-03-11T13:59:59Z"
     )
     for start, end in ((0, 10), (10, 20)):
         deliver(spark, base, start, end)

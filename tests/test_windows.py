@@ -10,7 +10,7 @@ from threatloom.operators.windows import first_sight, offender_count
 from threatloom.schema import ATTACK_TYPES
 from threatloom.sources.tables import default_rules
 
-T = 1_779_285_600  # 2026-05-20T14:00:00Z
+T = 1_779_285_600  # 2025-03-11T14:00:00Z
 
 
 def arrivals(spark, instants):
@@ -73,12 +73,12 @@ def test_first_sight_trims_before_the_shuffle(spark):
 
 
 def test_enrichment_flow(spark):
-    events = [{"eventId": f"evt-{i}"} for i in range(1, 7)]
+    events = [{"eventId": f"k-{i}"} for i in range(1, 7)]
     enriched = enrich(raw_events(spark, events), default_rules(spark)).orderBy("arrival")
     assert [r[0] for r in rows(enriched, "threatScore")] == [75, 75, 75, 75, 75, 90]
-    repeated = enrich(raw_events(spark, [{}, {}, {"eventId": "evt-2"}]), default_rules(spark)).orderBy("arrival")
+    repeated = enrich(raw_events(spark, [{}, {}, {"eventId": "k-2"}]), default_rules(spark)).orderBy("arrival")
     got = rows(repeated, "rawEvent.eventId", "offenderEventCount", "attackType", "receivedAt")
-    assert [row[:3] for row in got] == [("evt-1", 1, "SQL/Command Injection"), ("evt-2", 2, "SQL/Command Injection")]
+    assert [row[:3] for row in got] == [("k-1", 1, "SQL/Command Injection"), ("k-2", 2, "SQL/Command Injection")]
 
 
 def test_attack_types(spark):

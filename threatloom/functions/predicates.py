@@ -125,5 +125,5 @@ OPERATORS = list(_TESTS)
 def predicate(value: Fact, operator: str, operand: str) -> Column:
     """True or false, never null: a missing fact fails everything but EXISTS."""
     if operator not in _TESTS:
-        raise ValueError(f"invalid operator: {operator} (allowed: {', '.join(OPERATORS)})")
+        raise ValueError(f"invalid operator: {operator}; known are {', '.join(OPERATORS)}")
     return F.coalesce(_TESTS[operator](value, operand), F.lit(False))

@@ -23,6 +23,7 @@ def validate_alert_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn(
         "violations",
         violations(
+            # Messages that callers match on.
             (is_blank(F.col("id")), "id", "must not be blank"),
             (unknown, "category", "invalid category"),
             (below_one("threshold"), "threshold", "must be at least 1"),

@@ -85,7 +85,7 @@ def top_paths(events: DataFrame, limit: int = TOP_LIMIT) -> DataFrame:
 
 def bucket_width(interval: str) -> str:
     if interval not in INTERVAL_SECONDS:
-        raise ValueError(f"invalid interval: {interval} (allowed: {', '.join(INTERVAL_SECONDS)})")
+        raise ValueError(f"invalid interval: {interval}; known are {', '.join(INTERVAL_SECONDS)}")
     return f"{INTERVAL_SECONDS[interval]} seconds"
 
 

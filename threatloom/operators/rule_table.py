@@ -24,6 +24,7 @@ def violations(*checks: tuple[Column, str, str]) -> Column:
 
 def validate_rules(rules: DataFrame) -> DataFrame:
     """Trim the text fields and add `violations`; a fact key that names nothing is allowed."""
+    # Messages that callers match on.
     checks = [(is_blank(F.col(c)), c, "must not be blank") for c in ("title", "fact_key", "operand")]
     unknown = F.col("operator").isNull() | ~F.col("operator").isin(OPERATORS)
     return rules.withColumn("violations", violations(*checks, (unknown, "operator", "invalid operator"))).withColumns(
