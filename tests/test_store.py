@@ -1,9 +1,11 @@
 import json
+import re
 
+import pytest
 from build import raw_events, rows, set_a, stored
 from pyspark.sql import functions as F
 
-from threatloom.operators import shape, store
+from threatloom.operators import id_index, shape, store
 from threatloom.operators.enrich import enrich
 from threatloom.sources.tables import default_rules, read_events
 
@@ -31,6 +33,50 @@ def test_only_the_days_of_a_batch_are_searched(spark, tmp_path):
     assert read_events(spark, path).count() == 16
 
 
+def _later(frame, days):
+    return frame.withColumn("timestamp", F.col("timestamp") + F.expr(f"INTERVAL {days} DAYS"))
+
+
+def test_a_batch_that_fails_before_its_index_entries(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+    store.append_once(set_a(spark).filter("event_id < 'a4'"), path)
+
+    def lost(*_):
+        raise OSError("executor lost")
+
+    with monkeypatch.context() as patched, pytest.raises(OSError):
+        patched.setattr(id_index, "add", lost)
+        store.append_once(set_a(spark), path)
+    store.append_once(set_a(spark), path)
+    assert read_events(spark, path).count() == 8
+    store.append_once(_later(set_a(spark), 30), path)
+    assert read_events(spark, path).count() == 8
+
+
+def test_only_buckets_of_a_batch_are_opened(spark, tmp_path):
+    path = str(tmp_path / "events")
+    store.append_once(set_a(spark), path)
+    generation = id_index.newest(spark, path)
+    asked = set_a(spark).filter("event_id = 'a5'").select("event_id")
+    found = id_index.held(spark, path, generation, asked)
+    assert rows(found, "event_id") == [("a5",)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan) and "event_date" not in plan
+    assert len(found.inputFiles()) > 1 and found.select("event_id").count() == 1
+    again = id_index.rebuild(spark.read.schema("event_id string").parquet(f"{path}/_ids/held/generation={generation}"), path)
+    assert id_index.newest(spark, path) == again == generation + 1
+    store.append_once(_later(set_a(spark), 3), path)
+    assert read_events(spark, path).count() == 8
+
+
+def test_index_of_a_table_written_without_one(spark, tmp_path):
+    path = str(tmp_path / "events")
+    store.append_once(set_a(spark), path, ids_keep_their_day=True)
+    assert id_index.newest(spark, path) is None
+    store.append_once(_later(set_a(spark), 9), path)
+    assert read_events(spark, path).count() == 8 and id_index.newest(spark, path) == 1
+
+
 def test_many_copies_of_one_event(spark, tmp_path):
     path = str(tmp_path / "events")
     copies = set_a(spark).filter("event_id = 'a1'").crossJoin(spark.range(500)).drop("id")

@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threatloom.operators import id_index
 from threatloom.schema import EVENT_COLUMNS, EVENTS
 from threatloom.sources.tables import read_events
 
@@ -34,17 +35,38 @@ def new_events(batch: DataFrame, stored: DataFrame, order: tuple[str, ...] = ("r
 def append_once(batch: DataFrame, path: str, ids_keep_their_day: bool = False) -> None:
     """Append the batch's new events to the table at `path`. Repeating a batch changes nothing.
 
-    `ids_keep_their_day` states that one id always carries the same timestamp. Then only the
-    days of the batch are searched for known ids; without it, the id column of all days is.
-    Assumes one writer at a time.
+    Known ids are looked up in the table's id index (`id_index`), which the first such append
+    builds and later ones keep, and in the days of the batch. The days are what makes a batch
+    that failed between its events and its index entries find its own events when it is run
+    again; it then enters what is missing. With `ids_keep_their_day`, which states that one id
+    always carries the same timestamp, the days alone are searched; ids are entered only where
+    the table has an index. One writer at a time is assumed, and a failed batch to be the next.
     """
     spark = batch.sparkSession
     stored = existing(spark, path)
+    generation = id_index.newest(spark, path)
+    if generation is None and not ids_keep_their_day:
+        generation = id_index.rebuild(stored.select("event_id").filter("event_id IS NOT NULL"), path)
+    own = not batch.is_cached
     dated = batch.select(*EVENT_COLUMNS, F.to_date("timestamp").alias("event_date"))
-    if ids_keep_their_day:
+    if own:
+        dated = dated.persist()
+    try:
         # Spark prunes the table's folders by the days it finds here, however many there are.
-        stored = stored.join(dated.select("event_date").distinct(), "event_date", "left_semi")
-    write_events(new_events(dated, stored), path)
+        known = stored.join(dated.select("event_date").distinct(), "event_date", "left_semi").select("event_id")
+        ids = dated.select("event_id").filter("event_id IS NOT NULL")
+        if ids_keep_their_day:
+            write_events(new_events(dated, known), path)
+            entries = ids.distinct()
+        else:
+            indexed = id_index.held(spark, path, generation, ids)
+            write_events(new_events(dated, known.unionByName(indexed)), path)
+            entries = ids.distinct().join(indexed, "event_id", "left_anti")
+        if generation is not None:
+            id_index.add(entries, path, generation)
+    finally:
+        if own:
+            dated.unpersist()
 
 
 def write_events(events: DataFrame, path: str) -> None:

@@ -28,7 +28,7 @@ _UNFILTERED = {
     "top_attackers": analytics.top_attackers,
     "top_paths": analytics.top_paths,
     "summary": summary.summary,
-    "timeseries_1h": partial(analytics.timeseries, interval="1h"),
+    **{f"timeseries_{width}": partial(analytics.timeseries, interval=width) for width in ("1m", "5m", "1h")},
 }
 
 
@@ -147,8 +147,8 @@ def over_filtered(question, spark, sf_dir):
     return _naive(question(_filtered(spark, sf_dir)))
 
 
-def summary_document(spark, sf_dir):
-    document = summary.summary_document(summary.summary(_filtered(spark, sf_dir)))
+def summary_document(of, spark, sf_dir):
+    document = summary.summary_document(summary.summary(of(spark, sf_dir)))
     none = F.lit(None).cast("double")
 
     def part(name, entries, key, count, average):
@@ -362,6 +362,18 @@ def append_once(spark, sf_dir):
     return _naive(tables.read_events(spark, path).drop("event_date"))
 
 
+def append_changed_days(spark, sf_dir):
+    """A filled table, then all events again two days later under default settings, with every seventh under a new id."""
+    path = scratch_dir(spark, "append-changed")
+    events = stored_events(spark, sf_dir)
+    store.append_once(events.filter("CAST(event_id AS BIGINT) % 3 > 0"), path)
+    renamed = F.when(F.col("event_id").cast("bigint") % 7 == 0, F.concat(F.lit("n"), "event_id")).otherwise(F.col("event_id"))
+    later = F.col("timestamp") + F.expr("INTERVAL 2 DAYS")
+    for _ in range(2):
+        store.append_once(events.withColumns({"event_id": renamed, "timestamp": later}), path)
+    return _naive(tables.read_events(spark, path).select("event_id", "timestamp", "threat_score"))
+
+
 def export_json(spark, sf_dir):
     path = scratch_dir(spark, "export")
     events = stored_events(spark, sf_dir)
@@ -477,6 +489,47 @@ def stream_enrich(spark, sf_dir):
     return tables.read_events(spark, f"{base}/events").select("event_id", "client_ip", "threat_score", "attack_type")
 
 
+def stream_rule_edit(spark, sf_dir):
+    """The stored rules change after the first delivery: one goes, one comes. Later batches score by the new ones."""
+    base = scratch_dir(spark, "stream-rules")
+    rule_table.write_rules(tables.default_rules(spark), f"{base}/rules")
+    for i, part in enumerate(_deliveries(spark, sf_dir)):
+        if i == 1:
+            stored = rule_table.load_rules(spark, f"{base}/rules")
+            left = rule_table.delete_rules(stored, stored.filter("id = 'severity-low'"))
+            added = stored.filter("id = 'action-deny'").withColumns(
+                {"id": F.lit("method-head"), "fact_key": F.lit("method"), "operand": F.lit("HEAD"), "output": F.lit("7"), "change_order": F.lit(1)}
+            )
+            rule_table.write_rules(rule_table.upsert_rules(left, added), f"{base}/rules")
+        logs.write_log(part, f"{base}/log")
+        enrichment.start_enrichment(
+            logs.read_folder(spark, f"{base}/log"), f"{base}/events", f"{base}/sightings", f"{base}/checkpoint",
+            lambda: rule_table.load_rules(spark, f"{base}/rules"), _replay, ids_keep_their_day=True, available_now=True,
+        ).awaitTermination()
+    return tables.read_events(spark, f"{base}/events").select("event_id", "threat_score")
+
+
+def stream_all_stages(spark, sf_dir):
+    """Request bodies to summary: ingest, write path and store, each a stream that reads what the one before wrote."""
+    base = scratch_dir(spark, "stream-stages")
+    logs.write_log(testdata.ingest_messages(spark, sf_dir), f"{base}/messages")
+    gateway.start_ingest(
+        logs.read_folder(spark, f"{base}/messages"), f"{base}/raw", f"{base}/refused", f"{base}/ingest-checkpoint", available_now=True
+    ).awaitTermination()
+
+    def publish(enriched: DataFrame, _: int) -> None:
+        logs.write_log(logs.enriched_messages(logs.enriched_envelopes(enriched)), f"{base}/enriched")
+
+    enrichment.start_enrichment(
+        logs.read_folder(spark, f"{base}/raw"), f"{base}/events", f"{base}/sightings", f"{base}/checkpoint",
+        partial(tables.default_rules, spark), publish=publish, available_now=True,
+    ).awaitTermination()
+    storing.start_store(
+        logs.read_folder(spark, f"{base}/enriched"), f"{base}/stored", f"{base}/unread", f"{base}/store-checkpoint", available_now=True
+    ).awaitTermination()
+    return summary.summary(tables.read_events(spark, f"{base}/stored"))
+
+
 def stream_store(spark, sf_dir):
     """The write path publishes what it scored; every fiftieth message is cut short on its way to the store stage."""
     base = scratch_dir(spark, "stream-store")
@@ -614,7 +667,8 @@ def queries() -> dict[str, Query]:
         "top_attackers": partial(over_filtered, analytics.top_attackers),
         "top_paths": partial(over_filtered, analytics.top_paths),
         "summary": partial(over_filtered, summary.summary),
-        "summary_document": summary_document,
+        "summary_document": partial(summary_document, _filtered),
+        "summary_document_all": partial(summary_document, stored_events),
         "find_by_config": find_by_config,
         "count_all": count_all,
         "samples_page": samples_page,
@@ -636,6 +690,7 @@ def queries() -> dict[str, Query]:
         "enriched_log": enriched_log,
         "flatten_roundtrip": flatten_roundtrip,
         "append_once": append_once,
+        "append_changed_days": append_changed_days,
         "export_json": export_json,
         "rules_upsert": rules_upsert,
         "rules_delete": rules_delete,
@@ -644,6 +699,8 @@ def queries() -> dict[str, Query]:
         "rules_violations": rules_violations,
         "stream_ingest": stream_ingest,
         "stream_enrich": stream_enrich,
+        "stream_rule_edit": stream_rule_edit,
+        "stream_all_stages": stream_all_stages,
         "stream_offender_count": stream_offender_count,
         "stream_quota": stream_quota,
         "stream_timeseries": stream_timeseries,

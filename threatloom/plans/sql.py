@@ -327,6 +327,18 @@ def oracle_sql() -> dict[str, str]:
                 BETWEEN TIMESTAMP '{ALERTS_AS_OF}' - INTERVAL 7 DAY AND TIMESTAMP '{ALERTS_AS_OF}') AS event_count FROM r)
             SELECT rule_id, category, CAST(threshold AS INTEGER) AS threshold, CAST(10080 AS INTEGER) AS window_minutes,
               CAST(event_count AS BIGINT) AS event_count, event_count >= threshold AS firing FROM c""",
+        "append_changed_days": f"""WITH {STORED} SELECT event_id, "timestamp", threat_score FROM stored WHERE arrival % 3 > 0
+            UNION ALL SELECT CASE WHEN arrival % 7 = 0 THEN 'n' || event_id ELSE event_id END, "timestamp" + INTERVAL 2 DAY,
+              threat_score FROM stored WHERE arrival % 3 = 0 OR arrival % 7 = 0""",
+        "stream_rule_edit": f"""WITH {COUNTED} SELECT event_id, CAST(threat_score + CASE
+              WHEN arrival <= (SELECT max(arrival) FROM sec) // 3 THEN 0
+              ELSE (method = 'HEAD')::INTEGER * 7 - (severity = 'LOW')::INTEGER * 10 END AS INTEGER) AS threat_score FROM enriched""",
+        # Receipt times of all messages are alike, so a client's events count in the order of the log.
+        "stream_all_stages": f"""WITH {ACCEPTED}, ranked AS (
+              SELECT a.*, row_number() OVER (PARTITION BY client_ip ORDER BY message_id, n) AS seen
+              FROM accepted a JOIN items ON n = arrival),
+            scored AS (SELECT *, {BASE_SCORE} + CASE WHEN seen > 5 THEN 15 ELSE 0 END AS threat_score FROM ranked)
+            {SUMMARY.format("scored")}""",
         "stream_store": f"""WITH {COUNTED} SELECT arrival, CAST(config_id AS VARCHAR) AS key, 'corr-' || arrival AS correlation,
               CASE WHEN arrival % 50 <> 7 THEN threat_score END AS threat_score,
               CASE WHEN arrival % 50 <> 7 THEN received_at END AS occurred_at, arrival % 50 = 7 AS refused FROM enriched""",
@@ -355,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
           CAST(count(*) AS BIGINT) AS event_count FROM stored GROUP BY 1"""
     sql["stream_alerts"] = sql["alerts"]
     sql["stream_rejects"] = f"WITH {SEC} SELECT arrival FROM sec WHERE arrival % 50 = 7"
-    for name in ("total_events", "by_category", "by_action", "top_attackers", "top_paths", "summary", "timeseries_1h"):
+    series = [f"timeseries_{width}" for width in ("1m", "5m", "1h")]
+    for name in ("total_events", "by_category", "by_action", "top_attackers", "top_paths", "summary", "summary_document", *series):
         sql[f"{name}_all"] = sql[name].replace(FILTERED, "TRUE")
     return sql

@@ -124,6 +124,11 @@ def score_batch(
     return score_events(attach_counts(fresh, counted), rules)
 
 
+def spacing(first: int, last: int, rows: int) -> int:
+    """Log positions for each message of a batch, on average."""
+    return max(1, (last - first + 1) // max(1, rows))
+
+
 def start_enrichment(
     raw_messages: DataFrame,
     table: str,
@@ -134,7 +139,7 @@ def start_enrichment(
     ids_keep_their_day: bool = False,
     rejects_path: str | None = None,
     publish: Callable[[DataFrame, int], None] | None = None,
-    stretch: int = STRETCH,
+    stretch: int | None = None,
     available_now: bool = False,
     interval: str = "10 seconds",
 ) -> StreamingQuery:
@@ -144,7 +149,8 @@ def start_enrichment(
     so that a batch searches its own days for known ids and not the whole table.
     Messages that cannot be read are written to `rejects_path`, by default `rejects` beside the
     sightings, in a folder of their batch. `rules` is called for each batch. `publish` may forward a batch's enriched rows as well.
-    `stretch` is explained at `enrich`.
+    `stretch` is explained at `enrich`; left out, each batch takes one that spans as many of its
+    messages whatever gaps its log positions have, as those behind `start_ingest` do.
     """
 
     rejects = rejects_path or f"{sightings_path.rstrip('/')}-rejects"
@@ -154,14 +160,15 @@ def start_enrichment(
         refused = bad(read_raw(messages)).withColumn("batch", F.lit(batch_id).cast("bigint"))
         refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
         batch = receive(messages).persist()
-        bounds = batch.agg(F.min(F.unix_micros("received_at")), F.max(F.unix_micros("received_at"))).first()
+        at = F.unix_micros("received_at")
+        bounds = batch.agg(F.min(at), F.max(at), F.min("arrival"), F.max("arrival"), F.count(F.lit(1))).first()
         if bounds[0] is None:
             batch.unpersist()
             messages.unpersist()
             return
         earlier = earlier_sightings(batch.sparkSession, sightings_path, batch_id, bounds[0] // _HOUR - 1, bounds[1] // _HOUR)
         fresh = first_sights(batch, earlier).persist()
-        enriched = score_batch(fresh, earlier, bounds[0], rules(), stretch).persist()
+        enriched = score_batch(fresh, earlier, bounds[0], rules(), stretch or STRETCH * spacing(*bounds[2:])).persist()
         try:
             record_sightings(fresh, batch_id, sightings_path)
             append_once(to_stored(enriched), table, ids_keep_their_day)
