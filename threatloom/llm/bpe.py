@@ -29,8 +29,8 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 # -------------------------------------------------------------------------------------
-#: Bytes that one Python worker spends on pieces it has met, and half as much on pairs; all are given back when its task
-#: ends. Of each, the older half goes when it is full.
+#: Bytes that one Python worker spends on pieces it has met, and half as much on pairs, over all its tasks. Of each, the
+#: older half goes when it is full.
 REMEMBERED_BYTES = 48 << 20
 #: A remembered text or pair costs about this much beside its own bytes.
 _ENTRY_BYTES = 160
@@ -55,10 +55,6 @@ class Recent(dict):
         self[key] = value
         return value
 
-    def forget(self) -> None:
-        self.clear()
-        self.old, self.spent = {}, 0
-
 
 def _byte_characters() -> dict[str, int]:
     """The printable stand-in of each byte: itself where printable, else the next free code point from 256 on."""
@@ -191,11 +187,6 @@ class Encoder:
             self._known.put(piece, packed, _ENTRY_BYTES + len(piece) + len(packed))
         return packed
 
-    def forget(self) -> None:
-        """Give back what was remembered; the vocabulary stays."""
-        self._compatible.forget()
-        self._known.forget()
-
     def encode_packed(self, text: str) -> bytes:
         """Ids of a whole text as little-endian 32-bit numbers. Special strings in it are their tokens."""
         if self.split_special is not None and any(name in text for name in self.special):
@@ -251,7 +242,7 @@ def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text",
 
     Each text is encoded once. A null text is empty; equal rows are treated alike; an empty table
     stays empty. Where `keep` has a column named `coded`, underscores are added to the new name.
-    A task holds SLICE_BYTES of text at a time, or one text, and what it remembers goes when it ends.
+    A task holds SLICE_BYTES of text at a time, or one text, beside what its worker remembers.
     """
     (coded,) = fresh(docs.select(*[quoted(name) for name in keep]), coded)
     body = fresh(docs.select(*[quoted(name) for name in keep]), "body")[0]
@@ -262,17 +253,14 @@ def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        try:
-            for part in by_bytes(batches, body, SLICE_BYTES):
-                packed = [model.encode_packed(t) if t else b"" for t in (x.as_py() for x in part.column(body))]
-                ids = [np.frombuffer(p, dtype="<i4") for p in packed]
-                sizes = np.array([len(i) for i in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
-                texts = pa.array([_decoded(model, i) for i in ids], pa.string())
-                made = pa.StructArray.from_arrays([lists, pa.array(sizes), texts], names=kind.names)
-                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in keep), made], [*keep, coded])
-        finally:
-            model.forget()
+        for part in by_bytes(batches, body, SLICE_BYTES):
+            packed = [model.encode_packed(t) if t else b"" for t in (x.as_py() for x in part.column(body))]
+            ids = [np.frombuffer(p, dtype="<i4") for p in packed]
+            sizes = np.array([len(i) for i in ids], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
+            texts = pa.array([_decoded(model, i) for i in ids], pa.string())
+            made = pa.StructArray.from_arrays([lists, pa.array(sizes), texts], names=kind.names)
+            yield pa.RecordBatch.from_arrays([*(part.column(name) for name in keep), made], [*keep, coded])
 
     fields = T.StructType([*told.select(*[quoted(name) for name in keep]).schema.fields, T.StructField(coded, kind)])
     return told.mapInArrow(run, fields)
