@@ -10,6 +10,7 @@ prefixes, and steps back where none fits. Places proven dead are marked, so the
 
 import json
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,8 @@ PATTERN = (
 REMEMBERED_BYTES = 48 << 20
 #: A remembered text or pair costs about this much beside its own bytes.
 _ENTRY_BYTES = 160
+#: A match is one number: how far back it began, and in the low bits its token.
+_ID_BITS, _ID_MASK = 20, (1 << 20) - 1
 #: Text bytes that are encoded at a time.
 SLICE_BYTES = 2 << 20
 #: Longer pieces are encoded anew each time.
@@ -90,14 +93,14 @@ class Encoder:
             self.pair_rank[pair] = rank
             if made not in self.made_from:
                 self.made_from[made], self.rank_of[made] = pair, rank
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         usable = {text: i for text, i in ids.items() if len(text) == 1 or i in self.made_from}
         self.single = [0] * 256
         for text, token_id in usable.items():
             if len(text) == 1:
                 self.single[text[0]] = token_id  # matches everywhere: no need to search for it
             else:
-                self.automaton.add_word(text.decode("latin-1"), (len(text) - 1, token_id))
+                self.automaton.add_word(text.decode("latin-1"), len(text) - 1 << _ID_BITS | token_id)
         self.automaton.make_automaton()
         self.sizes = [len(text) for text in self.token]
         # Of each token, the longest shorter one that it begins with.
@@ -107,7 +110,6 @@ class Encoder:
                 if text[:end] in usable:
                     self.shorter[token_id] = usable[text[:end]]
                     break
-        self.whole = {text: i for text, i in usable.items()}
         self._compatible, self._known = Recent(REMEMBERED_BYTES // 2), Recent(REMEMBERED_BYTES)
         self.pieces = regex.compile(PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split if self.special else None
@@ -151,8 +153,8 @@ class Encoder:
         if not size:
             return []
         longest = [self.single[byte] for byte in piece]
-        for end, (back, token_id) in self.automaton.iter(piece.decode("latin-1")):
-            longest[end - back] = token_id  # a later end is a longer match
+        for end, match in self.automaton.iter(piece.decode("latin-1")):
+            longest[end - (match >> _ID_BITS)] = match & _ID_MASK  # a later end is a longer match
         dead = bytearray(size + 1)
         found: list[int] = []
         at, token, left, shorter, sizes, met = 0, longest[0], -1, self.shorter, self.sizes, self._compatible.get
@@ -179,10 +181,7 @@ class Encoder:
     def _packed(self, piece: str) -> bytes:
         packed = self._known.old.get(piece)
         if packed is None:
-            raw = piece.encode()
-            whole = self.whole.get(raw)
-            ids = self.encode_piece(raw) if whole is None else (whole,)  # the longest match at 0 that ends the piece
-            packed = struct.pack(f"<{len(ids)}i", *ids)
+            packed = array("i", self.encode_piece(piece.encode())).tobytes()
         if len(piece) <= REMEMBERED_LENGTH:
             self._known.put(piece, packed, _ENTRY_BYTES + len(piece) + len(packed))
         return packed
