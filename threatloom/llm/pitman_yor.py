@@ -19,12 +19,12 @@ and context: as much as the corpus has, and never a row per token. Customers and
 contexts travel the same way, as lists for the words of a block; the driver has none of them.
 """
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,22 +43,23 @@ END = xxh64(np.array([10], np.uint8), np.array([0]), np.array([1]))[0]
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Numbers with their byte planes apart: high bytes of small numbers cost next to nothing, so counts can be 64 bits wide."""
+    flat = np.ascontiguousarray(values).ravel()
+    return zstandard.compress(np.ascontiguousarray(flat.view(np.uint8).reshape(-1, flat.itemsize).T), 1)
 
 
 def _open(packed: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), dtype)
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def _packed_sorted(values: np.ndarray) -> bytes:
-    """Rising 64-bit numbers as their differences, byte planes apart."""
-    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
-    return _packed(steps.view(np.uint8).reshape(-1, 8).T)
+    """Rising 64-bit numbers as their differences."""
+    return _packed(np.diff(values, prepend=np.uint64(0)).astype("<u8"))
 
 
 def _open_sorted(packed: bytes) -> np.ndarray:
-    planes = _open(packed, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(_open(packed, "<u8"), dtype=np.uint64)
 
 
 # ---- blocks ----------------------------------------------------------------------------------
@@ -76,7 +77,7 @@ def _block_row(number: int, ids: list, held: list, sizes: list[np.ndarray], hash
         "ids": [ids],
         "held": [held],
         "sizes": [_packed(size.astype(np.int32))],
-        "tokens": [_packed(token.astype("<i4").view(np.uint8).reshape(-1, 4).T)],
+        "tokens": [_packed(token.astype("<i4"))],
         "vocabulary": [_packed_sorted(vocabulary)],
         "counts": [_packed(counts.astype(np.int32))],
         "n_tokens": [int(learnt.sum())],
@@ -87,8 +88,7 @@ def _block_row(number: int, ids: list, held: list, sizes: list[np.ndarray], hash
 
 
 def _tokens_of(row: dict) -> np.ndarray:
-    planes = _open(row["tokens"], np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    return _open(row["tokens"], "<i4")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +455,7 @@ def _sample(asked: DataFrame, words: int, tokens: int, bits: int, seed: int) ->
             leaf.append(tables)
             per_context.append(np.bincount(context, tables, minlength=len(contexts)))
             seats += [int(sampler.root.customers.sum()), int(sampler.root.tables().sum())]
-        root, leaf, per_context = np.array(root, np.int32), np.array(leaf, np.int32), np.array(per_context).astype(np.int32)
+        root, leaf, per_context = np.array(root, np.int64), np.array(leaf, np.int64), np.rint(per_context).astype(np.int64)
         out = []
         for i, r in enumerate(rows):
             w, e = where[starts[i] : starts[i + 1]], at[entries[i] : entries[i + 1]]
@@ -479,7 +479,7 @@ def _context_tables(answers: DataFrame, known: DataFrame) -> DataFrame:
         words, where = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_inverse=True)
         tables, end = np.zeros((SAMPLES, len(words) + 1), np.int64), 0
         for r, own in zip(told, lists, strict=True):
-            tables[:, where[end : end + len(own)]] += _open(r["tables"], np.int32).reshape(SAMPLES, -1)
+            tables[:, where[end : end + len(own)]] += _open(r["tables"], np.int64).reshape(SAMPLES, -1)
             end += len(own)
         out = []
         for r in asked.to_pylist():
@@ -505,24 +505,27 @@ class Totals:
     seats: list[int]
 
 
-def _score_block(row: dict, answers: list[dict], totals: Totals) -> dict:
+def _score_block(row: dict, answers: dict[str, list], totals: Totals) -> dict:
+    """Scores of a block's texts. `answers` has, by kind, what each partition says, in their order; partitions are
+    ranges of hashes, so of the block's words and pairs too, and one at a time is opened."""
     vocabulary, token = _open_sorted(row["vocabulary"]), _tokens_of(row)
     pair, place = np.unique(_pairs_of(row, vocabulary, token), return_inverse=True)
-    word, of = pair // len(vocabulary), pair % len(vocabulary)
-    answers = sorted(answers, key=lambda r: r["part"])  # partitions are ranges of hashes, and so of the vocabulary
-
-    def told(name: str, dtype, lines: int) -> np.ndarray:
-        return np.concatenate([_open(r[name], dtype).reshape(lines, -1) for r in answers if r[name] is not None], axis=1)
-
-    known = told("known", np.int64, 1)[0]
-    root, leaf, tables = told("root", np.int32, 2 * SAMPLES), told("leaf", np.int32, SAMPLES + 1), told("tables", np.int64, SAMPLES)
+    place = place.astype(np.int32)
+    known = np.concatenate([_open(r, np.int64) for r in answers["known"]])
+    tables = np.concatenate([_open(r, np.int64).reshape(SAMPLES, -1) for r in answers["tables"]], axis=1)
     (d0, d1), (s0, s1) = DISCOUNTS, STRENGTHS
-    chance = np.zeros(len(pair))
-    for k in range(SAMPLES):
-        all_, all_tables = totals.seats[2 * k : 2 * k + 2]
-        base = (root[2 * k] - d0 * root[2 * k + 1] + (s0 + d0 * all_tables) / (totals.words + 1)) / (s0 + all_)
-        # A word that is a context has as many customers in its restaurant as learnt texts have of it.
-        chance += (leaf[0] - d1 * leaf[k + 1] + (s1 + d1 * tables[k][of]) * base[word]) / (s1 + known[of])
+    chance, words_end, end = np.zeros(len(pair)), 0, 0
+    for packed_root, packed_leaf in zip(answers["root"], answers["leaf"], strict=True):
+        root, leaf = _open(packed_root, np.int64).reshape(2 * SAMPLES, -1), _open(packed_leaf, np.int64).reshape(SAMPLES + 1, -1)
+        own = slice(end, end + leaf.shape[1])
+        word, of = pair[own] // len(vocabulary) - words_end, pair[own] % len(vocabulary)
+        for k in range(SAMPLES):
+            all_, all_tables = totals.seats[2 * k : 2 * k + 2]
+            base = (root[2 * k] - d0 * root[2 * k + 1] + (s0 + d0 * all_tables) / (totals.words + 1)) / (s0 + all_)
+            # A word that is a context has as many customers in its restaurant as learnt texts have of it.
+            chance[own] += (leaf[0] - d1 * leaf[k + 1] + (s1 + d1 * tables[k][of]) * base[word]) / (s1 + known[of])
+        words_end, end = words_end + root.shape[1], own.stop
+    del pair, tables
     sizes = _open(row["sizes"], np.int32)
     starts = np.cumsum(sizes) - sizes
     plain = np.log10((known + 1) / (totals.tokens + totals.words + 1))
@@ -561,8 +564,9 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     totals = Totals(tokens, words, seats)
 
     def meet(block: pa.Table, answered: pa.Table) -> pa.Table:
-        rows = block.to_pylist()
-        scored = [_score_block(row, answered.to_pylist(), totals) for row in rows]
+        answered = answered.sort_by("part")
+        answers = {name: [v.as_buffer() for v in answered.column(name).drop_null()] for name in ("known", "root", "leaf", "tables")}
+        scored = [_score_block(row, answers, totals) for row in block.to_pylist()]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         arrays = [pa.chunked_array([pa.array(s[n], kind) for s in scored], kind) for n, kind in zip(names, kinds, strict=True)]
