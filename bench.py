@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from threatloom.operators import alerts, analytics, ingest, store, summary  # noqa: E402
+from threatloom.operators import alerts, analytics, ingest, rollup, store, summary  # noqa: E402
 from threatloom.operators.enrich import enrich  # noqa: E402
 from threatloom.operators.shape import to_stored  # noqa: E402
 from threatloom.plans import queries as q  # noqa: E402
@@ -67,6 +67,14 @@ def main() -> None:
         store.append_once(to_stored(enrich(raw, rules)), written[-1])
 
     timed("enrich_and_append", persist_events)
+    hours: list = []
+
+    def count_hours() -> None:  # once after an append; pages read it
+        rollup.refresh(spark, written[-1])
+        hours.append(rollup.per_hour(rollup.rolled(spark, written[-1], testdata.CONFIG_IDS[0])).persist())
+        hours[-1].count()
+
+    timed("rollup_refresh", count_hours, runs=1)
     events = tables.read_events(spark, written[-1])
     config = analytics.filter_events(events, config_id=testdata.CONFIG_IDS[0])
     questions = {
@@ -76,7 +84,7 @@ def main() -> None:
         "by_action": lambda: analytics.by_action(events),
         "top_attackers": lambda: analytics.top_attackers(events),
         "top_paths": lambda: analytics.top_paths(events),
-        "samples_page": lambda: analytics.samples_page(config),
+        "samples_page": lambda: analytics.samples_page(config, counts=hours[-1]),
         "samples_total": lambda: analytics.samples_total(config),
         "timeseries_1m": lambda: analytics.timeseries(events, "1m"),
         "timeseries_1h": lambda: analytics.timeseries(config, "1h"),

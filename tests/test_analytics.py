@@ -79,11 +79,14 @@ def test_pages(events):
     assert an.samples_page(one, offset=99).count() == 0
 
 
-def test_deep_pages_agree_with_shallow_ones(spark, monkeypatch):
-    frame = stored(spark, [{"event_id": f"{i:04d}", "timestamp": f"2025-09-02T{i % 7:02d}:00:{i % 5:02d}.{i % 3}Z"} for i in range(300)]).cache()
-    shallow = {skip: rows(an.samples_page(frame, 50, skip), "event_id") for skip in (0, 33, 120, 280, 299, 300)}
-    monkeypatch.setattr(an, "DEEP_PAGE", 0)
-    assert {skip: rows(an.samples_page(frame, 50, skip), "event_id") for skip in shallow} == shallow
+@pytest.mark.parametrize("at_once", [0, 100_000])
+def test_pages_of_any_depth(spark, monkeypatch, at_once):
+    monkeypatch.setattr(an, "SORTED_AT_ONCE", at_once)
+    made = [(f"{i:04d}", f"2025-09-02T{i % 7:02d}:00:{i % 5:02d}.{i % 3}Z") for i in range(300)]
+    frame = stored(spark, [{"event_id": i, "timestamp": t} for i, t in made]).cache()
+    order = [i for i, _ in sorted(sorted(made), key=lambda r: r[1], reverse=True)]
+    for skip in (0, 33, 120, 280, 299, 300):
+        assert [r[0] for r in rows(an.samples_page(frame, 50, skip), "event_id")] == order[skip : skip + 50]
 
 
 def test_page_parameters():

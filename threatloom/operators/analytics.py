@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.functions.scalars import floor_div, instant
@@ -105,48 +105,51 @@ def clamp_page(limit: int | None = None, offset: int | None = None) -> tuple[int
     return rows, max(0, offset or 0)
 
 
-def samples_page(events: DataFrame, limit: int | None = None, offset: int | None = None) -> DataFrame:
-    """Newest events first, equal instants by id."""
-    rows, skip = clamp_page(limit, offset)
-    narrowed, skip = _skip_newer(events, skip, rows)
-    return narrowed.orderBy(F.desc("timestamp"), F.asc("event_id")).offset(skip).limit(rows)
-
-
-DEEP_PAGE = 10_000
+#: A page's hours with more events than this are told apart by second before anything is sorted.
+SORTED_AT_ONCE = 100_000
 
 
-def _skip_newer(events: DataFrame, skip: int, rows: int) -> tuple[DataFrame, int]:
-    """For a deep page, the seconds that hold it and the offset that is left inside them.
+def samples_page(events: DataFrame, limit: int | None = None, offset: int | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Newest events first, equal instants by id. Events without a timestamp are on no page.
 
-    Sorting for a page keeps offset + limit rows per task. Counting events per hour, then per
-    second inside the hours found, leaves only the page's own seconds to sort.
+    Whatever the offset, the hours that hold the page are found first, from `counts` (hour,
+    event_count), rows that add up to these events such as `rollup.rolled` gives, or else from the
+    events' timestamps. Only events of these hours, or of the page's seconds in them, are read
+    whole and sorted.
     """
-    if skip + rows <= DEEP_PAGE:
-        return events, skip
+    rows, skip = clamp_page(limit, offset)
+    if counts is None:
+        hours = _per(events, 3600)
+    else:
+        hours = counts.groupBy(floor_div(F.unix_seconds("hour"), 3600).alias("bucket")).agg(F.sum("event_count").alias("event_count"))
     for width in (3600, 1):
-        bucket = floor_div(F.unix_seconds("timestamp"), width)
-        oldest, newest, newer = _covering(events.groupBy(bucket.alias("bucket")).agg(_count()), skip, rows)
-        if oldest is None:
-            return events.limit(0), 0
-        events = filter_events(
-            events,
-            start=F.timestamp_seconds(F.lit(oldest * width)),
-            end=F.timestamp_micros(F.lit((newest + 1) * width * 1_000_000 - 1)),
-        )
+        held = _covering(hours if width > 1 else _per(events, 1), skip, rows)
+        if not held:
+            return events.limit(0)
+        (newest, newer, _), (oldest, _, _) = held[0], held[-1]
+        start = F.timestamp_seconds(F.lit(oldest * width))
+        events = filter_events(events, start=start, end=F.timestamp_micros(F.lit((newest + 1) * width * 1_000_000 - 1)))
         skip -= newer
-    return events, skip
+        if sum(count for _, _, count in held) <= SORTED_AT_ONCE:
+            break
+    return events.orderBy(F.desc("timestamp"), F.asc("event_id")).offset(skip).limit(rows)
+
+
+def _per(events: DataFrame, width: int) -> DataFrame:
+    return events.groupBy(floor_div(F.unix_seconds("timestamp"), width).alias("bucket")).agg(_count())
 
 
-def _covering(counts: DataFrame, skip: int, rows: int) -> tuple:
-    """(oldest bucket, newest bucket, events in newer ones) for events skip .. skip + rows.
+def _covering(counts: DataFrame, skip: int, rows: int) -> list[tuple[int, int, int]]:
+    """(bucket, events in newer ones, its events) of the buckets that hold events skip .. skip + rows, newest first.
 
-    One row per hour of the table, or per second of a few hours: small enough for one running
-    total.
+    One row per hour of the table, or per second of the few hours of a page, comes to the driver.
     """
-    upto = F.sum("event_count").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.withColumn("upto", upto).withColumn("newer", F.col("upto") - F.col("event_count"))
-    hit = placed.filter((F.col("upto") > skip) & (F.col("newer") < skip + rows))
-    return tuple(hit.agg(F.min("bucket"), F.max("bucket"), F.min("newer")).first())
+    held, newer = [], 0
+    for bucket, count in sorted((tuple(row) for row in counts.filter("bucket IS NOT NULL").collect()), reverse=True):
+        if newer + count > skip and newer < skip + rows:
+            held.append((bucket, newer, count))
+        newer += count
+    return held
 
 
 def samples_total(events: DataFrame) -> DataFrame:

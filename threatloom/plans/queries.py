@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threatloom.functions.facts import fact
 from threatloom.functions.predicates import predicate
 from threatloom.functions.scalars import attack_type, client_key
-from threatloom.operators import alerts, analytics, ingest, quota, rule_table, scoring, shape, store, summary
+from threatloom.operators import alerts, analytics, ingest, quota, rollup, rule_table, scoring, shape, store, summary
 from threatloom.operators.enrich import client_ip, enrich, event_id
 from threatloom.operators.windows import first_sight, offender_count
 from threatloom.plans.sql import ALERT_RULES, ALERTS_AS_OF, FILTER_FROM, FILTER_TO, RULE_CASES
@@ -343,6 +343,30 @@ def enriched_log(spark, sf_dir):
     )
 
 
+# --- hourly rows beside the table ------------------------------------------------------------
+
+
+def _half_rolled(spark: SparkSession, sf_dir: str) -> str:
+    """A stored table whose second half was appended after its hourly rows were made."""
+    path = scratch_dir(spark, "rolled")
+    events = stored_events(spark, sf_dir).withColumn("event_date", F.to_date("timestamp"))
+    odd = F.col("event_id").cast("bigint") % 2 == 1
+    store.write_events(events.filter(odd), path)
+    rollup.refresh(spark, path)
+    store.write_events(events.filter(~odd), path)
+    return path
+
+
+def rolled_question(question, conditions, spark, sf_dir):
+    return _naive(question(rollup.rolled(spark, _half_rolled(spark, sf_dir), **conditions)))
+
+
+def rolled_page(spark, sf_dir):
+    path = _half_rolled(spark, sf_dir)
+    page = analytics.samples_page(tables.read_events(spark, path), limit=100, offset=9950, counts=rollup.rolled(spark, path))
+    return _naive(page.select("event_id", "timestamp"))
+
+
 # --- store and rule table ------------------------------------------------------------------
 
 
@@ -705,7 +729,19 @@ def queries() -> dict[str, Query]:
         "stream_quota": stream_quota,
         "stream_timeseries": stream_timeseries,
         "stream_alerts": stream_alerts,
+        "rolled_page": rolled_page,
+    }
+    one = {"config_id": testdata.CONFIG_IDS[0], "start": FILTER_FROM, "end": FILTER_TO}
+    within = {"category": "XSS", "start": FILTER_FROM, "end": FILTER_TO}
+    rolled = {
+        "by_category": (rollup.by_category, one),
+        "by_category_all": (rollup.by_category, {}),
+        "by_action": (rollup.by_action, one),
+        "timeseries_1h": (rollup.timeseries, one),
+        "count_category_within": (partial(rollup.total, name="event_count"), within),
     }
+    for name, (question, conditions) in rolled.items():
+        named[f"rolled_{name}"] = partial(rolled_question, question, conditions)
     for operator in RULE_CASES:
         named[f"rule_{operator.lower()}"] = partial(rule_predicate, operator)
     for label in ("1m", "5m", "1h"):

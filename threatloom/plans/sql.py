@@ -370,4 +370,8 @@ def oracle_sql() -> dict[str, str]:
     series = [f"timeseries_{width}" for width in ("1m", "5m", "1h")]
     for name in ("total_events", "by_category", "by_action", "top_attackers", "top_paths", "summary", "summary_document", *series):
         sql[f"{name}_all"] = sql[name].replace(FILTERED, "TRUE")
+    # Hourly rows must give what the events give.
+    for name in ("by_category", "by_category_all", "by_action", "timeseries_1h", "count_category_within"):
+        sql[f"rolled_{name}"] = sql[name]
+    sql["rolled_page"] = sql["samples_deep_page"]
     return sql
