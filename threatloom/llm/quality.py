@@ -1,7 +1,7 @@
 """Quality rules: base counts per text, and a hashed n-gram log-likelihood ratio.
 
-Trusted documents and the whole corpus each give a multinomial over hashed n-grams. A text's
-verdict is the mean over its n-grams of log p(bucket | trusted) - log p(bucket | corpus),
+Trusted documents and the whole corpus each give a multinomial over hashed n-grams: whole words
+and pairs of neighbouring words. A text's verdict is the mean over its n-grams of log p(bucket | trusted) - log p(bucket | corpus),
 compared with a threshold: the same text always gets the same verdict.
 
 Everything is built-in expressions over one row. Texts are never shuffled; what moves is one
@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from threatloom.llm.frames import fresh, quoted
 
-BUCKETS = 1 << 14
-TAIL = 2
+BUCKETS = 1 << 16
 #: Labelled rows that the trusted multinomial and the threshold are learnt from, at most.
 LABELLED_ROWS = 5_000
 #: Pseudo-counts that a trusted bucket gets in proportion to the corpus, in units of its share.
@@ -102,17 +101,18 @@ def _counted(split: DataFrame, text: str, word: str) -> DataFrame:
 # ---- n-gram model --------------------------------------------------------------------
 
 
-def _bucket(word: Column, following: Column) -> Column:
-    """An n-gram is two neighbouring words, each stood for by its last TAIL characters."""
-    tails = [F.substring(w, -TAIL, TAIL) for w in (word, following)]
-    return F.pmod(F.xxhash64(*tails), F.lit(BUCKETS)).cast("int")
+def _bucket(*gram: Column) -> Column:
+    """The bucket of an n-gram, given as one whole word or two."""
+    return F.pmod(F.xxhash64(*gram), F.lit(BUCKETS)).cast("int")
 
 
 def _counts(word_arrays: DataFrame) -> DataFrame:
     """(bucket, n) over all n-grams of the column `words`; added up on the map side."""
     pairs = F.arrays_zip(F.col("words").alias("word"), F.expr("slice(words, 2, size(words))").alias("following"))
-    each = word_arrays.filter("size(words) > 1").select(F.inline(pairs)).filter("following IS NOT NULL")
-    return each.groupBy(_bucket(F.col("word"), F.col("following")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    word, following = F.col("word"), F.col("following")
+    each = word_arrays.filter("size(words) > 0").select(F.inline(pairs))
+    both = F.array(_bucket(word), F.when(following.isNotNull(), _bucket(word, following)))
+    return each.select(F.explode(both).alias("bucket")).filter("bucket IS NOT NULL").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _filled(spark, counts: DataFrame, value: Column) -> DataFrame:
@@ -135,14 +135,16 @@ def with_score(frame: DataFrame, word: str, ratio: DataFrame, score: str = "scor
     """Add the mean log ratio of the n-grams in the array column `word`; 0 for a row without any."""
     (table,) = fresh(frame, "table")
 
+    def value(*gram: Column) -> Column:
+        return F.get(quoted(table), _bucket(*gram))
+
     def mean(all_: Column) -> Column:
+        first = value(F.get(all_, F.lit(0)))
         pairs = F.sequence(F.lit(0), F.size(all_) - 2)
         total = F.aggregate(
-            pairs,
-            F.lit(0.0),
-            lambda sum_, i: sum_ + F.get(quoted(table), _bucket(F.get(all_, i), F.get(all_, i + 1))),
+            pairs, first, lambda sum_, i: sum_ + value(F.get(all_, i), F.get(all_, i + 1)) + value(F.get(all_, i + 1))
         )
-        return F.when(F.size(all_) < 2, F.lit(0.0)).otherwise(total / (F.size(all_) - 1))
+        return F.when(F.size(all_) < 1, 0.0).when(F.size(all_) < 2, first).otherwise(total / (2 * F.size(all_) - 1))
 
     # The subquery stands in a projection of its own, since lambdas may not hold one; Spark runs it once.
     return frame.withColumn(table, ratio.scalar()).withColumn(score, _bind(quoted(word), mean)).drop(table)
