@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.llm.frames import fresh, quoted
+from threatloom.llm.frames import fresh, kept_in_table, quoted
 
 BUCKETS = 1 << 16
 #: Labelled rows that the trusted multinomial and the threshold are learnt from, at most.
@@ -173,11 +173,14 @@ def fit(
     sample = labelled_sample(labels, label, labelled_rows, doc_id)
     texts = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("text"))
     corpus = _counts(texts.select(words(F.col("text")).alias("words")))
-    known = texts.join(F.broadcast(sample), "id").select("label", words(F.col("text")).alias("words"))
+    # Labelled texts and bucket counts are asked for more than once, so they are written once.
+    known = kept_in_table(texts.join(F.broadcast(sample), "id").select("label", "text"), "quality-texts")
+    known = known.select("label", words(F.col("text")).alias("words"))
     trusted = _counts(known.filter("label = 1"))
     # Smoothing towards the corpus: a bucket that trusted texts say nothing about gets a ratio of 1.
     joined = corpus.withColumnRenamed("n", "all").join(trusted.withColumnRenamed("n", "good"), "bucket", "left")
     joined = joined.select("bucket", F.col("all").cast("double"), F.coalesce("good", F.lit(0)).cast("double").alias("good"))
+    joined = kept_in_table(joined, "quality-counts")
     totals = joined.agg(F.sum("all").alias("all_sum"), F.sum("good").alias("good_sum")).first()
     every, good = float(totals[0] or 1.0), float(totals[1] or 0.0)
     share = F.col("all") / every
