@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.frames import by_bytes, fresh, quoted
+from threatloom.llm.frames import by_bytes, fresh, give_back, quoted
 
 # --- Fixed values: the split pattern of byte-level BPE vocabularies ------------------
 PATTERN = (
@@ -30,8 +30,7 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 # -------------------------------------------------------------------------------------
-#: Bytes that one Python worker spends on pieces it has met, and half as much on pairs, over all its tasks. Of each, the
-#: older half goes when it is full.
+#: Bytes that a task spends on pieces it has met, and half as much on pairs. Of each, the older half goes when it is full.
 REMEMBERED_BYTES = 48 << 20
 #: A remembered text or pair costs about this much beside its own bytes.
 _ENTRY_BYTES = 160
@@ -110,13 +109,17 @@ class Encoder:
                 if text[:end] in usable:
                     self.shorter[token_id] = usable[text[:end]]
                     break
-        self._compatible, self._known = Recent(REMEMBERED_BYTES // 2), Recent(REMEMBERED_BYTES)
+        self.forget()
         self.pieces = regex.compile(PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")").split if self.special else None
         sizes = np.array([len(t) for t in self.token])
         self.offsets = np.append(0, np.cumsum(sizes))
         self.bytes = np.frombuffer(b"".join(self.token), dtype=np.uint8)
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self._compatible, self._known = Recent(REMEMBERED_BYTES // 2), Recent(REMEMBERED_BYTES)
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined bytes of two tokens gives these two tokens."""
         pair = left << 32 | right
@@ -252,14 +255,18 @@ def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(path)
-        for part in by_bytes(batches, body, SLICE_BYTES):
-            packed = [model.encode_packed(t) if t else b"" for t in (x.as_py() for x in part.column(body))]
-            ids = [np.frombuffer(p, dtype="<i4") for p in packed]
-            sizes = np.array([len(i) for i in ids], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
-            texts = pa.array([_decoded(model, i) for i in ids], pa.string())
-            made = pa.StructArray.from_arrays([lists, pa.array(sizes), texts], names=kind.names)
-            yield pa.RecordBatch.from_arrays([*(part.column(name) for name in keep), made], [*keep, coded])
+        try:
+            for part in by_bytes(batches, body, SLICE_BYTES):
+                packed = [model.encode_packed(t) if t else b"" for t in (x.as_py() for x in part.column(body))]
+                ids = [np.frombuffer(p, dtype="<i4") for p in packed]
+                sizes = np.array([len(i) for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
+                texts = pa.array([_decoded(model, i) for i in ids], pa.string())
+                made = pa.StructArray.from_arrays([lists, pa.array(sizes), texts], names=kind.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in keep), made], [*keep, coded])
+        finally:
+            model.forget()
+            give_back()
 
     fields = T.StructType([*told.select(*[quoted(name) for name in keep]).schema.fields, T.StructField(coded, kind)])
     return told.mapInArrow(run, fields)

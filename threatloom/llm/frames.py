@@ -1,5 +1,6 @@
 """Small helpers that the operators share: names, scratch tables, Arrow batches cut by bytes."""
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -58,3 +59,11 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BY
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+
+
+def give_back() -> None:
+    """Memory that a task of this worker has freed goes back to the system: an idle worker counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
