@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.frames import by_bytes, fresh, give_back, quoted
+from threatloom.llm.frames import by_bytes, fresh, give_back, lean, quoted
 
 # --- Fixed values: the split pattern of byte-level BPE vocabularies ------------------
 PATTERN = (
@@ -253,17 +253,20 @@ def round_trip(docs: DataFrame, path: str, keep: list[str], text: str = "text",
     )
     told = docs.select(*[quoted(name) for name in keep], quoted(text).alias(body))
 
+    def answer(model: Encoder, part: pa.RecordBatch) -> pa.RecordBatch:
+        packed = [model.encode_packed(t) if t else b"" for t in (x.as_py() for x in part.column(body))]
+        ids = [np.frombuffer(p, dtype="<i4") for p in packed]
+        sizes = np.array([len(i) for i in ids], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
+        texts = pa.array([_decoded(model, i) for i in ids], pa.string())
+        made = pa.StructArray.from_arrays([lists, pa.array(sizes), texts], names=kind.names)
+        return pa.RecordBatch.from_arrays([*(part.column(name) for name in keep), made], [*keep, coded])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         model = encoder(path)
         try:
-            for part in by_bytes(batches, body, SLICE_BYTES):
-                packed = [model.encode_packed(t) if t else b"" for t in (x.as_py() for x in part.column(body))]
-                ids = [np.frombuffer(p, dtype="<i4") for p in packed]
-                sizes = np.array([len(i) for i in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
-                texts = pa.array([_decoded(model, i) for i in ids], pa.string())
-                made = pa.StructArray.from_arrays([lists, pa.array(sizes), texts], names=kind.names)
-                yield pa.RecordBatch.from_arrays([*(part.column(name) for name in keep), made], [*keep, coded])
+            yield from (answer(model, part) for part in by_bytes(batches, body, SLICE_BYTES))
         finally:
             model.forget()
             give_back()

@@ -3,6 +3,7 @@
 import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from threatloom.session import scratch_dir
 
 #: Text bytes that a Python task works on at a time.
 SLICE_BYTES = 8 << 20
+#: Numbers of the C library's settings (malloc.h).
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
+_POOLS = (pa.default_memory_pool(), pa.system_memory_pool())
 
 
 def fresh(frame: DataFrame, *names: str) -> list[str]:
@@ -61,9 +65,23 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BY
             begin = end
 
 
+@lru_cache(maxsize=1)
+def lean() -> None:
+    """From now on blocks of 1 MB or more that this worker frees leave it at once, the last batch of a task included.
+
+    Arrow's own pool and the C library's growing threshold would keep them while the worker waits for its next task.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option is not None:
+        option(_MMAP_THRESHOLD, 1 << 20)
+        option(_TRIM_THRESHOLD, 1 << 20)
+
+
 def give_back() -> None:
     """Memory that a task of this worker has freed goes back to the system: an idle worker counts against its executor."""
-    pa.default_memory_pool().release_unused()
+    for pool in _POOLS:
+        pool.release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

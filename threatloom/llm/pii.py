@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatloom.llm.frames import by_bytes, kept_in_table, quoted
+from threatloom.llm.frames import by_bytes, give_back, kept_in_table, lean, quoted
 
 # --- Fixed values: base patterns ------------------------------------------------------
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -240,22 +240,26 @@ def fit(docs: DataFrame, text: str = "text") -> PiiModel:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "text"):
-            tally: dict[tuple, int] = {}
-            for value in part.column("text"):
-                body = value.as_py()
-                if body:
-                    for c in candidates(body, base_spans(body)):
-                        key = (tuple(votes(c)), tuple(round(f * _STEPS) for f in features(c)))
-                        tally[key] = tally.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([list(k[0]) for k in tally], pa.list_(pa.int32())),
-                    pa.array([list(k[1]) for k in tally], pa.list_(pa.int32())),
-                    pa.array(list(tally.values()), pa.int64()),
-                ],
-                ["votes", "features", "n"],
-            )
+        lean()
+        yield from (patterns_of(part) for part in by_bytes(batches, "text"))
+        give_back()
+
+    def patterns_of(part: pa.RecordBatch) -> pa.RecordBatch:
+        tally: dict[tuple, int] = {}
+        for value in part.column("text"):
+            body = value.as_py()
+            if body:
+                for c in candidates(body, base_spans(body)):
+                    key = (tuple(votes(c)), tuple(round(f * _STEPS) for f in features(c)))
+                    tally[key] = tally.get(key, 0) + 1
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([list(k[0]) for k in tally], pa.list_(pa.int32())),
+                pa.array([list(k[1]) for k in tally], pa.list_(pa.int32())),
+                pa.array(list(tally.values()), pa.int64()),
+            ],
+            ["votes", "features", "n"],
+        )
 
     found = docs.select(quoted(text).alias("text")).mapInArrow(run, "votes array<int>, features array<int>, n long")
     counted = kept_in_table(found.groupBy("votes", "features").agg(F.sum("n").alias("n")), "pii-patterns")
@@ -291,6 +295,7 @@ def find(text: Column, model: PiiModel) -> Column:
     """
 
     def run(texts: pa.Array) -> pa.Array:
+        lean()
         counts: list[list[int]] = [[] for _ in KINDS]
         base_told, all_told = [], []
         for value in texts:
@@ -327,6 +332,9 @@ def mask(text: Column, model: PiiModel) -> Column:
         return "".join([*out, body[at:]])
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if not v.is_valid else masked(v.as_py()) for v in texts], pa.string())
+        lean()
+        told = pa.array((None if not v.is_valid else masked(v.as_py()) for v in texts), pa.string())
+        give_back()
+        return told
 
     return F.arrow_udf(run, T.StringType())(text)

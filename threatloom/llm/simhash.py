@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threatloom.llm.components import components
-from threatloom.llm.frames import fresh, kept_in_table, quoted
+from threatloom.llm.frames import fresh, give_back, kept_in_table, lean, quoted
 from threatloom.llm.words import words_of, xxh64
 
 BITS = 64
@@ -71,7 +71,9 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
 @F.arrow_udf(T.LongType())
 def fingerprint(texts: pa.Array) -> pa.Array:
     """The fingerprint as a signed 64-bit number."""
+    lean()
     found = [fingerprints(part) for part in _slices(texts)]
+    give_back()
     return pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64))
 
 
