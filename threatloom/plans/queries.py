@@ -1,6 +1,7 @@
 """One registered query per operator, each over the whole tables of a test-data folder."""
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -448,6 +449,21 @@ def rules_delete_all_stored(spark, sf_dir):
     return before.unionByName(after)
 
 
+def rules_edited_at_once(spark, sf_dir):
+    """Two writers at the same moment: one changes rules whose id ends in an even digit, one deletes odd ones."""
+    path = scratch_dir(spark, "rules")
+    current, changes = _rule_rows(spark, sf_dir)
+    rule_table.write_rules(current, path)
+    even = F.substring("id", -1, 1).isin("0", "2", "4", "6", "8")
+    gone = stored_events(spark, sf_dir).filter(testdata.kind(F.col("request_size")) == 7)
+    gone = gone.select(F.concat(F.lit("block-"), F.col("client_ip")).alias("id")).filter(~even)
+    with ThreadPoolExecutor(2) as writers:
+        made = [writers.submit(rule_table.edit_rules, path, changes.filter(even)), writers.submit(rule_table.edit_rules, path, None, gone)]
+        for edit in made:
+            edit.result()
+    return rule_table.load_rules(spark, path)
+
+
 def rules_seed(spark, sf_dir):
     """Rules of another type do not count: the default rules are added to them."""
     others = _rule_rows(spark, sf_dir)[0].withColumn("type", F.lit("BLOCKING"))
@@ -719,6 +735,7 @@ def queries() -> dict[str, Query]:
         "rules_upsert": rules_upsert,
         "rules_delete": rules_delete,
         "rules_delete_all_stored": rules_delete_all_stored,
+        "rules_edited_at_once": rules_edited_at_once,
         "rules_seed": rules_seed,
         "rules_violations": rules_violations,
         "stream_ingest": stream_ingest,

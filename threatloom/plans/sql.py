@@ -319,6 +319,12 @@ def oracle_sql() -> dict[str, str]:
             WHERE id NOT IN (SELECT 'block-' || client_ip FROM sec WHERE k = 7)""",
         "rules_delete_all_stored": f"""WITH {RULE_ROWS} SELECT 'before' AS moment, CAST(count(*) AS BIGINT) AS rules
             FROM current_rules UNION ALL SELECT 'after', 0""",
+        "rules_edited_at_once": f"""WITH {RULE_ROWS}, newest AS (
+              SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrival DESC) AS r FROM changes
+              WHERE right(id, 1) IN ('0', '2', '4', '6', '8'))
+            SELECT id, type, title, fact_key, operator, operand, output, priority, enabled FROM newest WHERE r = 1
+            UNION ALL SELECT * FROM current_rules WHERE id NOT IN (SELECT id FROM newest)
+              AND NOT (right(id, 1) NOT IN ('0', '2', '4', '6', '8') AND id IN (SELECT 'block-' || client_ip FROM sec WHERE k = 7))""",
         "rules_seed": f"""WITH {RULE_ROWS} SELECT * REPLACE ('BLOCKING' AS type) FROM current_rules
             UNION ALL VALUES {_SEEDED}""",
         "alert_rules_stored": f"""WITH {SEC}, r AS (SELECT 'rule-' || category AS rule_id, category,
