@@ -146,7 +146,8 @@ def _within(mean: np.ndarray, part: list[int], most: int) -> list[float]:
 
 def plan_parts(rows: int, together: np.ndarray, reach: int = REACH) -> tuple[list[list[int]], list[int]]:
     """Parts and thresholds of least estimated cost. A threshold of -1 leaves its part out."""
-    mean = np.diag(together) / max(rows, 1)
+    rows = max(rows, 1)  # of nothing every plan costs nothing, and the first would flip each four bits of 64
+    mean = np.diag(together) / rows
     best: tuple[float, list, list] | None = None
     for number in range(1, reach + 2):
         parts = correlated_parts(rows, together, number)
