@@ -5,7 +5,9 @@ in the last hour and when each client was seen in the last ten minutes — is a
 *sightings*, (event id, client, instant, arrival), in folders by hour and batch:
 
 * a client that sends most of the traffic is spread by `offender_count` like in batch;
-* old entries leave by not being read: only the hours that can matter are opened;
+* old entries leave by not being read: only folders of hours that can matter are opened;
+* a batch that spans many hours, as a replay does, puts several hours in a folder, so its
+  folders and files are few however long the time it covers;
 * a batch that is run again after a failure replaces its own folders and reads only those of
   earlier batches, so the outcome is the same;
 * rules are read again for each batch, so an edit applies from the next batch on.
@@ -59,16 +61,29 @@ def received(messages: DataFrame) -> DataFrame:
 
 _HOUR = 3_600_000_000
 
+#: About as many folders a batch has at most; one that spans fewer hours has a folder for each.
+_FOLDERS = 64
+#: `hour` is a folder's first hour plus this for each further hour it holds; no instant's hour is as far as half of it from 0.
+_FURTHER = 1 << 33
+
+
+def further_hours(first_hour: int, last_hour: int) -> int:
+    """Hours that a folder of a batch holds beyond its first: 0, or as many as make 2, 4, 8, ... hours."""
+    return (1 << ((last_hour - first_hour) // _FOLDERS).bit_length()) - 1
+
 
 def earlier_sightings(spark: SparkSession, path: str, batch_id: int, first_hour: int, last_hour: int) -> DataFrame:
-    """What earlier batches saw in the given hours; the filter on `hour` leaves out other hours' folders."""
+    """What earlier batches saw in the given hours; the filter on `hour` leaves out folders of other hours."""
     try:
         log = spark.read.schema(_SIGHTINGS).parquet(path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         return spark.createDataFrame([], _SIGHTINGS)
-    return log.filter(F.col("hour").between(first_hour, last_hour) & (F.col("batch") < batch_id))
+    further = floor_div(F.col("hour") + _FURTHER // 2, _FURTHER)
+    first = F.col("hour") - further * _FURTHER
+    near = log.filter((first <= last_hour) & (first + further >= first_hour) & (F.col("batch") < batch_id))
+    return near.filter(floor_div(F.unix_micros("received_at"), _HOUR).between(first_hour, last_hour))
 
 
 _RETENTION = DEDUP_RETENTION_SECONDS * 1_000_000
@@ -102,12 +117,17 @@ def first_sights(batch: DataFrame, earlier: DataFrame) -> DataFrame:
     return copies.join(new, (event_id() == F.col("_id")) & (micros == F.col("_at")), "left_semi")
 
 
-def record_sightings(fresh: DataFrame, batch_id: int, path: str) -> None:
-    """Write the batch's own folders, replacing those of a failed attempt."""
-    rows = sightings(fresh).withColumns(
-        {"hour": floor_div(F.unix_micros("received_at"), _HOUR), "batch": F.lit(batch_id).cast("bigint")}
-    )
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+def record_sightings(fresh: DataFrame, batch_id: int, path: str, further: int = 0) -> None:
+    """Write the batch's own folders, replacing those of a failed attempt.
+
+    `further` comes from `further_hours`. The rows of a folder are brought together first, or each
+    task would write a file to every folder; AQE splits a folder that holds most rows.
+    """
+    width = further + 1
+    first = floor_div(F.unix_micros("received_at"), _HOUR * width) * width
+    rows = sightings(fresh).withColumns({"hour": first + further * _FURTHER, "batch": F.lit(batch_id).cast("bigint")})
+    laid_out = rows.hint("rebalance", "hour").sortWithinPartitions("hour", "received_at")
+    laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
 
 
 def score_batch(
@@ -166,11 +186,12 @@ def start_enrichment(
             batch.unpersist()
             messages.unpersist()
             return
-        earlier = earlier_sightings(batch.sparkSession, sightings_path, batch_id, bounds[0] // _HOUR - 1, bounds[1] // _HOUR)
+        first_hour, last_hour = bounds[0] // _HOUR, bounds[1] // _HOUR
+        earlier = earlier_sightings(batch.sparkSession, sightings_path, batch_id, first_hour - 1, last_hour)
         fresh = first_sights(batch, earlier).persist()
         enriched = score_batch(fresh, earlier, bounds[0], rules(), stretch or STRETCH * spacing(*bounds[2:])).persist()
         try:
-            record_sightings(fresh, batch_id, sightings_path)
+            record_sightings(fresh, batch_id, sightings_path, further_hours(first_hour, last_hour))
             append_once(to_stored(enriched), table, ids_keep_their_day)
             if publish is not None:
                 publish(enriched, batch_id)
