@@ -27,7 +27,7 @@ from threatloom.operators.shape import to_stored
 from threatloom.operators.store import append_once
 from threatloom.operators.windows import STRETCH, first_sight, offender_count
 from threatloom.schema import DEDUP_RETENTION_SECONDS, OFFENDER_WINDOW_SECONDS
-from threatloom.streaming.logs import bad, good, read_raw
+from threatloom.streaming.logs import bad, good, portions, read_raw
 
 _SIGHTINGS = T.StructType(
     [
@@ -176,7 +176,7 @@ def start_enrichment(
     rejects = rejects_path or f"{sightings_path.rstrip('/')}-rejects"
 
     def handle(messages: DataFrame, batch_id: int) -> None:
-        messages = messages.persist()
+        messages = portions(messages).persist()
         refused = bad(read_raw(messages)).withColumn("batch", F.lit(batch_id).cast("bigint"))
         refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
         batch = receive(messages).persist()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from threatloom.operators.ingest import accepted, check_messages, rejected
-from threatloom.streaming.logs import raw_messages
+from threatloom.streaming.logs import portions, raw_messages
 
 
 def raw_stream(messages: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def start_ingest(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        checked = check_messages(batch).persist()
+        checked = check_messages(portions(batch)).persist()
         try:
             outputs = {
                 raw_path: raw_messages(accepted(checked, blank_correlation_counts=True)),

@@ -56,6 +56,24 @@ def read_folder(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: Bytes of message text that one task keeps. Parsed rows take a few times as much.
+PORTION = 1 << 25
+
+
+def portions(messages: DataFrame) -> DataFrame:
+    """The messages of a batch dealt evenly to tasks by their amount of text, for stages that keep them parsed.
+
+    A part of a file or of a topic may be small as stored and many times that as text, and the
+    parts get larger with the batch. Costs one more read of the source and one shuffle; a batch
+    that one task may hold stays as it is.
+    """
+    text = messages.agg(F.sum(F.octet_length("value").cast("bigint"))).first()[0] or 0
+    parts = -(-text // PORTION)
+    if parts <= 1:
+        return messages
+    return messages.repartition(max(parts, messages.sparkSession.sparkContext.defaultParallelism))
+
+
 def _message(envelope: list[str], key: Column) -> list[Column]:
     return [
         key.alias("key"),

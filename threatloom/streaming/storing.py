@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threatloom.operators.shape import to_stored
 from threatloom.operators.store import append_once
-from threatloom.streaming.logs import bad, good, read_enriched
+from threatloom.streaming.logs import bad, good, portions, read_enriched
 
 
 def start_store(
@@ -25,7 +25,7 @@ def start_store(
     """
 
     def handle(messages: DataFrame, batch_id: int) -> None:
-        opened = read_enriched(messages).persist()
+        opened = read_enriched(portions(messages)).persist()
         try:
             refused = bad(opened).withColumn("batch", F.lit(batch_id).cast("bigint"))
             refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
