@@ -16,7 +16,7 @@ BUCKETS = 64
 _HELD = "event_id string, generation int, bucket int"
 
 
-def _bucket(event_id: Column) -> Column:
+def bucket(event_id: Column) -> Column:
     return F.pmod(F.xxhash64(event_id), F.lit(BUCKETS)).cast("int")
 
 
@@ -32,7 +32,7 @@ def newest(spark: SparkSession, table: str) -> int | None:
 
 
 def _write(ids: DataFrame, table: str, generation: int, mode: str) -> None:
-    dealt = ids.select("event_id", _bucket(F.col("event_id")).alias("bucket")).hint("rebalance", "bucket")
+    dealt = ids.select("event_id", bucket(F.col("event_id")).alias("bucket")).hint("rebalance", "bucket")
     path = f"{table}/_ids/held/generation={generation}"
     dealt.sortWithinPartitions("bucket", "event_id").write.mode(mode).partitionBy("bucket").parquet(path)
 
@@ -48,7 +48,7 @@ def rebuild(ids: DataFrame, table: str) -> int:
 
 def held(spark: SparkSession, table: str, generation: int, ids: DataFrame) -> DataFrame:
     """Those of `ids` (event_id) that the index has; only their buckets are opened."""
-    buckets = ids.select(_bucket(F.col("event_id")).alias("bucket")).distinct()
+    buckets = ids.select(bucket(F.col("event_id")).alias("bucket")).distinct()
     chosen = [row[0] for row in buckets.filter("bucket IS NOT NULL").collect()]  # BUCKETS numbers at most
     try:
         every = spark.read.schema(_HELD).parquet(f"{table}/_ids/held")

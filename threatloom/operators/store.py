@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threatloom.operators import id_index
+from threatloom.operators.parts import part_of
 from threatloom.schema import EVENT_COLUMNS, EVENTS
 from threatloom.sources.tables import read_events
 
@@ -42,18 +43,35 @@ def append_once(batch: DataFrame, path: str, ids_keep_their_day: bool = False) -
     always carries the same timestamp, the days alone are searched; ids are entered only where
     the table has an index. One writer at a time is assumed, and a failed batch to be the next.
     """
-    spark = batch.sparkSession
-    stored = existing(spark, path)
-    generation = id_index.newest(spark, path)
-    if generation is None and not ids_keep_their_day:
-        generation = id_index.rebuild(stored.select("event_id").filter("event_id IS NOT NULL"), path)
     own = not batch.is_cached
-    dated = batch.select(*EVENT_COLUMNS, F.to_date("timestamp").alias("event_date"))
+    dated = _dated(batch)
     if own:
         dated = dated.persist()
     try:
+        append_parts([dated], path, ids_keep_their_day)
+    finally:
+        if own:
+            dated.unpersist()
+
+
+def _dated(batch: DataFrame) -> DataFrame:
+    return batch.select(*EVENT_COLUMNS, F.to_date("timestamp").alias("event_date"))
+
+
+def append_parts(batch: list[DataFrame], path: str, ids_keep_their_day: bool = False) -> None:
+    """`append_once` for a batch in parts as `parts.part_of` deals them, one after the other; each part is read several times.
+
+    A part meets the stored ids that fall in it and no others.
+    """
+    spark = batch[0].sparkSession
+    stored = existing(spark, path)
+    generation = id_index.newest(spark, path)
+    if generation is None and not ids_keep_their_day:
+        generation = id_index.rebuild(stored.select("event_id").filter("event_id IS NOT NULL"), path)
+    for k, dated in enumerate(map(_dated, batch)):
+        mine = stored if len(batch) == 1 else stored.filter(part_of(F.col("event_id"), len(batch)) == k)
         # Spark prunes the table's folders by the days it finds here, however many there are.
-        known = stored.join(dated.select("event_date").distinct(), "event_date", "left_semi").select("event_id")
+        known = mine.join(dated.select("event_date").distinct(), "event_date", "left_semi").select("event_id")
         ids = dated.select("event_id").filter("event_id IS NOT NULL")
         if ids_keep_their_day:
             write_events(new_events(dated, known), path)
@@ -64,9 +82,6 @@ def append_once(batch: DataFrame, path: str, ids_keep_their_day: bool = False) -
             entries = ids.distinct().join(indexed, "event_id", "left_anti")
         if generation is not None:
             id_index.add(entries, path, generation)
-    finally:
-        if own:
-            dated.unpersist()
 
 
 def write_events(events: DataFrame, path: str) -> None:

@@ -28,6 +28,18 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """From now on a session drops the shuffle files of each of its queries when that has ended, not when the driver
+    happens to collect its garbage. Spark makes a shuffle again where a cached frame still needs one."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate results, on whatever store it lies; a missing one is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unique folder below the cluster's shared `spark.checkpoint.dir`.
 

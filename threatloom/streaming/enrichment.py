@@ -8,6 +8,8 @@ in the last hour and when each client was seen in the last ten minutes — is a
 * old entries leave by not being read: only folders of hours that can matter are opened;
 * a batch that spans many hours, as a replay does, puts several hours in a folder, so its
   folders and files are few however long the time it covers;
+* ids and clients are judged on sightings alone; whole events lie in files beside the checkpoint
+  while their batch is worked on, and are joined to what was found in parts (`operators.parts`);
 * a batch that is run again after a failure replaces its own folders and reads only those of
   earlier batches, so the outcome is the same;
 * rules are read again for each batch, so an edit applies from the next batch on.
@@ -16,18 +18,20 @@ in the last hour and when each client was seen in the last ten minutes — is a
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from threatloom.functions.scalars import floor_div
-from threatloom.operators.enrich import attach_counts, event_id, score_events, sightings
+from threatloom.operators.enrich import client_ip, event_id, score_events, sightings
+from threatloom.operators.parts import PART, lay_out, lay_out_parts, split
 from threatloom.operators.shape import to_stored
-from threatloom.operators.store import append_once
+from threatloom.operators.store import append_parts
 from threatloom.operators.windows import STRETCH, first_sight, offender_count
 from threatloom.schema import DEDUP_RETENTION_SECONDS, OFFENDER_WINDOW_SECONDS
-from threatloom.streaming.logs import bad, good, portions, read_raw
+from threatloom.session import drop_dir, free_shuffles
+from threatloom.streaming.logs import bad, good, parts, read_raw
 
 _SIGHTINGS = T.StructType(
     [
@@ -39,6 +43,8 @@ _SIGHTINGS = T.StructType(
         T.StructField("batch", T.LongType()),
     ]
 )
+#: The columns of a sighting itself.
+_SEEN = ["event_id", "client", "received_at", "arrival"]
 
 
 TRIGGERED_AT = "triggered_at"
@@ -130,18 +136,39 @@ def record_sightings(fresh: DataFrame, batch_id: int, path: str, further: int =
     laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
 
 
-def score_batch(
-    fresh: DataFrame, earlier: DataFrame, since: int, rules: DataFrame, stretch: int = STRETCH
-) -> DataFrame:
-    """Count and score; earlier sightings take part in the count and then drop out again.
+def own_sightings(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """What `record_sightings` wrote for a batch."""
+    return spark.read.schema(_SIGHTINGS).parquet(path).filter(F.col("batch") == batch_id).select(*_SEEN)
+
+
+def count_batch(fresh: DataFrame, earlier: DataFrame, since: int, stretch: int = STRETCH) -> DataFrame:
+    """Sightings of a batch with their count; earlier ones take part in it and then drop out again.
 
     `since` is the oldest receipt time of the batch in microseconds.
     """
     recent = earlier.filter(F.unix_micros("received_at") >= since - OFFENDER_WINDOW_SECONDS * 1_000_000)
-    new = sightings(fresh).withColumn("new", F.lit(True))
-    together = new.unionByName(recent.select("event_id", "client", "received_at", "arrival"), allowMissingColumns=True)
-    counted = offender_count(together, F.col("client"), F.col("received_at"), stretch=stretch).filter("new")
-    return score_events(attach_counts(fresh, counted), rules)
+    together = fresh.withColumn("new", F.lit(True)).unionByName(recent.select(*_SEEN), allowMissingColumns=True)
+    counted = offender_count(together, F.col("client"), F.col("received_at"), stretch=stretch)
+    return counted.filter("new").select(*_SEEN, "offenderEventCount")
+
+
+def attach_to_first(raw: DataFrame, counted: DataFrame) -> DataFrame:
+    """Bring offenderEventCount to the event of each counted sighting; other copies drop out.
+
+    Copies of an id differ in their receipt time or log position, so those of a hot id spread over
+    tasks; of rows that agree in all of it one stays. Whole events are shuffled once.
+    """
+    names = ["_id", "_client", "_nameless", "_at", "_arrival"]
+
+    def keys(id: Column, client: Column) -> list[Column]:
+        values = [id, F.coalesce(client, F.lit("")), client.isNull(), F.col("received_at"), F.col("arrival")]
+        return [value.alias(name) for value, name in zip(values, names)]
+
+    keyed = raw.select(*keys(event_id(), client_ip()), *raw.columns)
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy("_arrival"))
+    once = keyed.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    found = counted.select(*keys(F.col("event_id"), F.col("client")), "offenderEventCount")
+    return once.join(found, names).drop(*names)
 
 
 def spacing(first: int, last: int, rows: int) -> int:
@@ -168,36 +195,48 @@ def start_enrichment(
     `ids_keep_their_day` goes to `append_once`: set it where an id never changes its timestamp,
     so that a batch searches its own days for known ids and not the whole table.
     Messages that cannot be read are written to `rejects_path`, by default `rejects` beside the
-    sightings, in a folder of their batch. `rules` is called for each batch. `publish` may forward a batch's enriched rows as well.
+    sightings, in a folder of their batch. `rules` is called for each batch. `publish` may forward a batch's enriched rows as well;
+    it gets all of them at once, and must be done with them when it returns: they lie in a folder
+    beside the checkpoint that goes then.
     `stretch` is explained at `enrich`; left out, each batch takes one that spans as many of its
     messages whatever gaps its log positions have, as those behind `start_ingest` do.
     """
 
+    work = f"{checkpoint.rstrip('/')}-open"
     rejects = rejects_path or f"{sightings_path.rstrip('/')}-rejects"
 
     def handle(messages: DataFrame, batch_id: int) -> None:
-        messages = portions(messages).persist()
+        spark = messages.sparkSession
+        free_shuffles(spark)
         refused = bad(read_raw(messages)).withColumn("batch", F.lit(batch_id).cast("bigint"))
         refused.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(rejects)
-        batch = receive(messages).persist()
+        try:
+            work_through(spark, messages, batch_id)
+        finally:
+            drop_dir(spark, work)
+
+    def work_through(spark: SparkSession, messages: DataFrame, batch_id: int) -> None:
+        n = parts(messages)
+        batch = lay_out(receive(messages), f"{work}/received", event_id(), n)
         at = F.unix_micros("received_at")
         bounds = batch.agg(F.min(at), F.max(at), F.min("arrival"), F.max("arrival"), F.count(F.lit(1))).first()
         if bounds[0] is None:
-            batch.unpersist()
-            messages.unpersist()
             return
         first_hour, last_hour = bounds[0] // _HOUR, bounds[1] // _HOUR
-        earlier = earlier_sightings(batch.sparkSession, sightings_path, batch_id, first_hour - 1, last_hour)
-        fresh = first_sights(batch, earlier).persist()
-        enriched = score_batch(fresh, earlier, bounds[0], rules(), stretch or STRETCH * spacing(*bounds[2:])).persist()
-        try:
-            record_sightings(fresh, batch_id, sightings_path, further_hours(first_hour, last_hour))
-            append_once(to_stored(enriched), table, ids_keep_their_day)
-            if publish is not None:
-                publish(enriched, batch_id)
-        finally:
-            for cached in (enriched, fresh, batch, messages):
-                cached.unpersist()
+        earlier = earlier_sightings(spark, sightings_path, batch_id, first_hour - 1, last_hour)
+        narrow = F.struct(event_id().alias("eventId"), client_ip().alias("clientIp")).alias("rawEvent")
+        fresh = first_sights(batch.select(narrow, "received_at", "arrival"), earlier)
+        record_sightings(fresh, batch_id, sightings_path, further_hours(first_hour, last_hour))
+        fresh = own_sightings(spark, sightings_path, batch_id)
+        counted = count_batch(fresh, earlier, bounds[0], stretch or STRETCH * spacing(*bounds[2:]))
+        counted = lay_out(counted, f"{work}/counted", F.col("event_id"), n)
+        pairs = zip(split(batch, n), split(counted, n))
+        whole = lay_out_parts([attach_to_first(*pair) for pair in pairs], f"{work}/whole")
+        drop_dir(spark, f"{work}/received")
+        enriched = score_events(whole, rules())
+        append_parts([to_stored(part) for part in split(enriched, n)], table, ids_keep_their_day)
+        if publish is not None:
+            publish(enriched.drop(PART), batch_id)
 
     stamped = raw_messages.withColumn(TRIGGERED_AT, F.current_timestamp())
     writer = stamped.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

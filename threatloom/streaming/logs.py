@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatloom.operators.id_index import BUCKETS
 from threatloom.schema import ENRICHED_ENVELOPE, MESSAGE, RAW_ENVELOPE
 
 CORRELATION_HEADER = "x-correlation-id"
@@ -56,6 +57,20 @@ def read_folder(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _text(messages: DataFrame) -> int:
+    return messages.agg(F.sum(F.octet_length("value").cast("bigint"))).first()[0] or 0
+
+
+#: About as many bytes of message text in a part of a batch.
+PART = 1 << 30
+
+
+def parts(messages: DataFrame) -> int:
+    """How many parts (`operators.parts`) a batch makes by its amount of text: 1, 2, 4, ... Costs one more read of the source."""
+    needed = -(-_text(messages) // PART)
+    return min(BUCKETS, 1 << max(0, needed - 1).bit_length())
+
+
 #: Bytes of message text that one task keeps. Parsed rows take a few times as much.
 PORTION = 1 << 25
 
@@ -67,8 +82,7 @@ def portions(messages: DataFrame) -> DataFrame:
     parts get larger with the batch. Costs one more read of the source and one shuffle; a batch
     that one task may hold stays as it is.
     """
-    text = messages.agg(F.sum(F.octet_length("value").cast("bigint"))).first()[0] or 0
-    parts = -(-text // PORTION)
+    parts = -(-_text(messages) // PORTION)
     if parts <= 1:
         return messages
     return messages.repartition(max(parts, messages.sparkSession.sparkContext.defaultParallelism))
@@ -130,7 +144,7 @@ def bad(opened: DataFrame) -> DataFrame:
 
 
 def write_log(messages: DataFrame, path: str) -> None:
-    messages.select(*MESSAGE.names).write.mode("append").parquet(path)
+    messages.select(*MESSAGE.names).write.mode("append").option("compression", "zstd").parquet(path)
 
 
 def _records(messages: DataFrame) -> DataFrame:
